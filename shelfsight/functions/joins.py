@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
+_checked: WeakKeyDictionary[DataFrame, bool] = WeakKeyDictionary()
+
+
+def is_small(df: DataFrame) -> bool:
+    """At most BROADCAST_ROWS rows. Reads no further than that, once per DataFrame object."""
+    if df not in _checked:
+        _checked[df] = df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return _checked[df]
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when ``df`` has at most ``max_rows`` rows.
+def small_side(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The wanted columns, with a broadcast hint when the table is small.
 
-    The check reads no further than ``max_rows + 1`` rows. A larger table is
-    returned as it is: the join then shuffles, and AQE splits hot partitions.
+    A larger table is returned without: the join then shuffles, and AQE splits
+    hot partitions.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    side = df.select(*columns)
+    return F.broadcast(side) if is_small(df) else side

@@ -27,5 +27,5 @@ def fk_check(relations: list[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
 def fk_filter(child: DataFrame, parents: dict[str, DataFrame]) -> DataFrame:
     """Keep the child rows whose keys all exist in their parents."""
     for key, parent in parents.items():
-        child = child.join(small_side(parent.select(key).distinct()), key, "left_semi")
+        child = child.join(small_side(parent, [key]), key, "left_semi")
     return child

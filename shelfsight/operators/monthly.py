@@ -101,7 +101,7 @@ def inventory_month(inventory: DataFrame) -> DataFrame:
 
 def attach(df: DataFrame, dim: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Left join with the wanted columns of a dimension, broadcast if its checked size allows."""
-    return df.join(small_side(dim.select(key, *present(dim, columns))), key, "left")
+    return df.join(small_side(dim, [key, *present(dim, columns)]), key, "left")
 
 
 def enrich_items(monthly: DataFrame, items: DataFrame) -> DataFrame:

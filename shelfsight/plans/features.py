@@ -109,4 +109,8 @@ def with_history(months: DataFrame) -> DataFrame:
 
 def monthly_features(raw: Tables) -> DataFrame:
     """The modelling table: one row per month, shop and item that has a next month."""
-    return M.next_month_target(with_history(enriched_months(valid_tables(raw))))
+    return monthly_from(valid_tables(raw))
+
+
+def monthly_from(valid: Tables) -> DataFrame:
+    return M.next_month_target(with_history(enriched_months(valid)))
