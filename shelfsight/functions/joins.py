@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame
@@ -11,11 +12,19 @@ BROADCAST_ROWS = 100_000
 _checked: WeakKeyDictionary[DataFrame, bool] = WeakKeyDictionary()
 
 
-def is_small(df: DataFrame) -> bool:
-    """At most BROADCAST_ROWS rows. Reads no further than that, once per DataFrame object."""
-    if df not in _checked:
-        _checked[df] = df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return _checked[df]
+def check_sizes(*tables: DataFrame) -> None:
+    """Learn in one job which tables have at most BROADCAST_ROWS rows.
+
+    Reads no further than that, once per DataFrame object.
+    """
+    unknown = [t for t in tables if t not in _checked]
+    if not unknown:
+        return
+    counts = reduce(DataFrame.unionByName, [
+        t.limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("n")).select(F.lit(i).alias("i"), "n")
+        for i, t in enumerate(unknown)])
+    for row in counts.collect():
+        _checked[unknown[row["i"]]] = row["n"] <= BROADCAST_ROWS
 
 
 def small_side(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -24,5 +33,6 @@ def small_side(df: DataFrame, columns: list[str]) -> DataFrame:
     A larger table is returned without: the join then shuffles, and AQE splits
     hot partitions.
     """
+    check_sizes(df)
     side = df.select(*columns)
-    return F.broadcast(side) if is_small(df) else side
+    return F.broadcast(side) if _checked[df] else side

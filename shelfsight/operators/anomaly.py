@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
-from ..sources.staging import stage
+from ..sources.staging import spread, stage
 from .cleaning import fill_feature_matrix, present
 from .monthly import GRAIN
 from .sampling import sample_exact
@@ -47,7 +47,9 @@ def grow_forest(pool: DataFrame, features: list[str], keys: list[str], n_rows: i
     ).alias("draw")).where(F.col("draw.h") < share)
         .select(*keys, *features, "draw.tree", "draw.h"))
     place = Window.partitionBy("tree").orderBy("h", *keys)
-    members = drawn.withColumn("place", F.row_number().over(place)).where(F.col("place") <= psi)
+    # a fixed partition count keeps AQE from growing all trees in one task
+    tasks = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    members = drawn.repartition(tasks, "tree").withColumn("place", F.row_number().over(place)).where(F.col("place") <= psi)
     depth = math.ceil(math.log2(max(psi, 2)))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -124,6 +126,7 @@ def isolation_forest(monthly: DataFrame, trees: int = 200, contamination: float
     n_rows = pool.count()
     if n_rows == 0:
         return pool.withColumns({"anomaly_score": F.lit(0.0), "is_anomaly": F.lit(1)})
+    pool = spread(pool, *keys)
     nodes = grow_forest(pool, features, keys, n_rows, trees, subsample, seed)
     scored = stage(score_rows(pool, nodes, features, min(subsample, n_rows)), "anomaly-scores")
     offset = exact_quantiles(scored, {"score": [contamination]})["score"][0]

@@ -17,15 +17,17 @@ MAX_LABELS = 10_000
 
 def one_hot(df: DataFrame, columns: list[str]) -> DataFrame:
     """Replace each column by 0/1 columns, one per label but the alphabetically first; null is all 0."""
+    pairs = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("label")) for c in columns])).alias("p"))
+    limit = MAX_LABELS * len(columns)
+    rows = pairs.select("p.*").where("label is not null").distinct().limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"{columns} have more than {limit} labels")
+    new = {}
     for c in columns:
-        rows = df.select(c).where(F.col(c).isNotNull()).distinct().limit(MAX_LABELS + 1).collect()
-        if len(rows) > MAX_LABELS:
-            raise ValueError(f"{c} has more than {MAX_LABELS} labels")
-        labels = sorted(r[0] for r in rows)[1:]
-        df = df.withColumns({
-            f"{c}_{label}": F.coalesce(F.col(c) == F.lit(label), F.lit(False)).cast("int")
-            for label in labels})
-    return df.drop(*columns)
+        for label in sorted(r["label"] for r in rows if r["name"] == c)[1:]:
+            new[f"{c}_{label}"] = F.coalesce(F.col(c) == F.lit(label), F.lit(False)).cast("int")
+    return df.withColumns(new).drop(*columns)
 
 
 def fit_encoder(df: DataFrame, numeric: list[str], labels: list[str]) -> PipelineModel:

@@ -6,6 +6,8 @@ skew in the raw sales was absorbed by the monthly aggregation.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator
@@ -116,36 +118,36 @@ def seasonal_regression_backtest(monthly: DataFrame, months: int = 3, min_rows:
     # a fixed partition count keeps AQE from merging small but compute-heavy partitions
     tasks = int(monthly.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     held = series_holdout(_top_series(monthly, top_n).repartition(tasks, *SERIES), months, min_rows)
-    rows = held.select(
-        *SERIES, F.col("t").cast("double").alias("t"), F.col("n_rows").cast("double").alias("n_rows"),
-        F.col("month").cast("double").alias("month"), F.col("is_validation").cast("double").alias("held"),
-        F.col("qty").alias("y"), *[F.col(c).cast("double").alias(c) for c in REGRESSORS])
+    fields = ["t", "month", "is_validation", "qty", *REGRESSORS]
+    # one row per series: its months in order, flattened, so a batch is a few thousand arrays
+    by_series = held.groupBy(*SERIES).agg(F.flatten(F.sort_array(F.collect_list(
+        F.array(*[F.col(c).cast("double") for c in fields])))).alias("months"))
     waves = np.arange(1, harmonics + 1) * 2 * np.pi / 12
 
-    def backtest(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.to_numpy(dtype=float)
-        m = m[np.argsort(m[:, 2])]
-        t, n, month, held_out, y, regressors = m[:, 2], m[0, 3], m[:, 4], m[:, 5] > 0, m[:, 6], m[:, 7:]
-        train = ~held_out
-
-        def result(rmse: float | None, status: str) -> pd.DataFrame:
-            return pd.DataFrame([(*map(int, key), int(train.sum()), rmse, status)],
-                                columns=[*SERIES, "n_train", "RMSE", "status"])
-
-        if np.isnan(regressors).any():
-            return result(None, "missing regressor")
-        angle = np.outer(month, waves)
-        x = np.column_stack([t / n, np.sin(angle), np.cos(angle), regressors])
+    def backtest(months: np.ndarray) -> tuple[int, float | None, str]:
+        m = np.asarray(months, dtype=float).reshape(-1, len(fields))
+        train, y = m[:, 2] == 0, m[:, 3]
+        n_train = int(train.sum())
+        if np.isnan(m).any():
+            return n_train, None, "missing regressor"
+        angle = np.outer(m[:, 1], waves)
+        x = np.column_stack([m[:, 0] / len(m), np.sin(angle), np.cos(angle), m[:, 4:]])
         spread = x[train].std(axis=0)
         x = (x - x[train].mean(axis=0)) / np.where(spread > 0, spread, 1.0)
         level = y[train].mean()
         a = x[train].T @ x[train] + ridge * np.eye(x.shape[1])
         beta = np.linalg.solve(a, x[train].T @ (y[train] - level))
-        error = y[held_out] - (level + x[held_out] @ beta)
-        return result(float(np.sqrt(np.mean(error ** 2))), "ok")
+        error = y[~train] - (level + x[~train] @ beta)
+        return n_train, float(np.sqrt(np.mean(error ** 2))), "ok"
+
+    def backtest_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            scores = pd.DataFrame([backtest(v) for v in pdf["months"]], index=pdf.index,
+                                  columns=["n_train", "RMSE", "status"])
+            yield pd.concat([pdf[SERIES], scores], axis=1)
 
-    return rows.groupBy(*SERIES).applyInPandas(
-        backtest, "shop_id long, item_id long, n_train int, RMSE double, status string")
+    return by_series.mapInPandas(
+        backtest_all, "shop_id long, item_id long, n_train int, RMSE double, status string")
 
 
 def total_series(monthly: DataFrame) -> DataFrame:

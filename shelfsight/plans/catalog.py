@@ -70,6 +70,11 @@ facts_query = _registrar(lambda raw: facts(P.valid_tables(raw)))
 monthly_query = _registrar(P.monthly_features)
 
 
+def staged_query(columns: list[str], digits: int | None = None):
+    """Register a query that passes over the monthly table more than once: the needed columns are written first."""
+    return _registrar(lambda raw: stage(P.monthly_features(raw).select(*columns), "monthly"))(digits)
+
+
 # --- sources and cleaning ---------------------------------------------------
 
 @query()
@@ -289,7 +294,7 @@ def stockout_impact(m):
     return E.stockout_impact(m)
 
 
-@monthly_query(6)
+@staged_query(E.CORRELATION_COLUMNS, 6)
 def correlation_matrix(m):
     return E.correlation_matrix(m)
 
@@ -319,32 +324,31 @@ def quantiles(t):
     return E.quantiles(t["sales"], {c: [0.01, 0.5, 0.99] for c in C.OUTLIER_COLUMNS})
 
 
-@monthly_query()
+@staged_query([*GRAIN, "qty"])
 def sales_class(m):
-    return R.sales_class(m).select(*GRAIN, "qty", "sales_class")
+    return R.sales_class(m)
 
 
-@monthly_query()
+@staged_query([*GRAIN, "shop_region", "qty"])
 def sales_class_by_region(m):
-    return R.sales_class(stage(m.select(*GRAIN, "shop_region", "qty"), "regions"), by_region=True)
+    return R.sales_class(m, by_region=True)
 
 
 # --- samples, splits, encoding ----------------------------------------------
 
-@monthly_query()
+@staged_query([*GRAIN, "avg_price", "qty"])
 def sample_exact(m):
-    return A.sample_exact(m.select(*GRAIN, "avg_price", "qty"), 4000, GRAIN)
+    return A.sample_exact(m, 4000, GRAIN)
 
 
-@monthly_query()
+@staged_query([*GRAIN, "qty"])
 def stratified_split(m):
-    rows = R.sales_class(m).select(*GRAIN, "sales_class")
-    return A.stratified_split(rows, "sales_class", GRAIN, R.CLASSES)
+    return A.stratified_split(R.sales_class(m).drop("qty"), "sales_class", GRAIN, R.CLASSES)
 
 
-@monthly_query()
+@staged_query([*GRAIN, "qty_next_month"])
 def time_split(m):
-    return A.time_split(m.select(*GRAIN, "qty_next_month"))
+    return A.time_split(m)
 
 
 @monthly_query()
@@ -352,15 +356,14 @@ def series_holdout(m):
     return A.series_holdout(m).select(*GRAIN, "t", "n_rows", "is_validation")
 
 
-@monthly_query()
+@staged_query([*GRAIN, *DUMMY_COLUMNS])
 def one_hot(m):
-    return N.one_hot(m.select(*GRAIN, *DUMMY_COLUMNS), DUMMY_COLUMNS)
+    return N.one_hot(m, DUMMY_COLUMNS)
 
 
-@monthly_query(6)
+@staged_query([*GRAIN, *SCALED_COLUMNS], 6)
 def standard_scale(m):
-    rows = A.time_split(m.select(*GRAIN, *SCALED_COLUMNS))
-    rows = C.fill_feature_matrix(rows, SCALED_COLUMNS)
+    rows = C.fill_feature_matrix(A.time_split(m), SCALED_COLUMNS)
     return N.standard_scale(rows.where(~F.col("is_validation")), rows, SCALED_COLUMNS)
 
 
@@ -391,26 +394,25 @@ def _lag_columns(df: DataFrame, keys: list[str], lookback: int = 12) -> DataFram
 
 # --- scores given predictions -----------------------------------------------
 
-@monthly_query(6)
+@staged_query(["year_month", "qty_next_month", "qty_roll_3"], 6)
 def regression_metrics(m):
     """Rolling mean as the prediction of the next month, by validation flag."""
-    rows = A.time_split(m.select("year_month", "qty_next_month", "qty_roll_3"))
+    rows = A.time_split(m)
     return R.regression_metrics(rows, "qty_next_month", "qty_roll_3", ["is_validation"])
 
 
 def _class_pairs(m: DataFrame) -> DataFrame:
     """Class of the next month as the truth, class of this month as the prediction."""
-    rows = stage(m.select(*GRAIN, "qty", "qty_next_month"), "class-pairs")
-    rows = R.sales_class(rows).withColumnRenamed("sales_class", "predicted").drop("qty")
+    rows = R.sales_class(m).withColumnRenamed("sales_class", "predicted").drop("qty")
     return R.sales_class(rows.withColumnRenamed("qty_next_month", "qty"))
 
 
-@monthly_query()
+@staged_query([*GRAIN, "qty", "qty_next_month"])
 def confusion_matrix(m):
     return R.confusion_matrix(_class_pairs(m), "sales_class", "predicted")
 
 
-@monthly_query(6)
+@staged_query([*GRAIN, "qty", "qty_next_month"], 6)
 def classification_report(m):
     return R.classification_report(_class_pairs(m), "sales_class", "predicted")
 
@@ -427,9 +429,8 @@ def arima_backtest(m):
     return S.arima_backtest(m)
 
 
-@monthly_query(4)
+@staged_query([*GRAIN, "year", "month", "qty"], 4)
 def arima_backtest_top_series(m):
-    m = stage(m.select(*GRAIN, "year", "month", "qty"), "series")
     return S.arima_backtest(m, top_n=5)
 
 
@@ -438,9 +439,9 @@ def seasonal_regression_backtest(m):
     return S.seasonal_regression_backtest(m)
 
 
-@monthly_query(6)
+@staged_query([*GRAIN, "qty"], 6)
 def sequence_regression(m):
-    return S.sequence_regression(stage(m.select(*GRAIN, "qty"), "series"), M.SERIES)
+    return S.sequence_regression(m, M.SERIES)
 
 
 @monthly_query(6)

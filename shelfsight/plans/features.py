@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from ..functions.joins import check_sizes
 from ..operators import cleaning as C
 from ..operators import integrity as I
 from ..operators import monthly as M
@@ -67,9 +68,10 @@ def valid_tables(raw: Tables) -> Tables:
     such sales stay, and find no item attributes later.
     """
     t = clean_tables(raw)
-    return {**t,
-            "sales": I.fk_filter(t["sales"], {"shop_id": t["shops"], "item_id": t["items"]}),
-            "items": I.fk_filter(t["items"], {"item_category_id": t["item_categories"]})}
+    check_sizes(t["shops"], t["items"], t["item_categories"])
+    items = I.fk_filter(t["items"], {"item_category_id": t["item_categories"]})
+    sales = I.fk_filter(t["sales"], {"shop_id": t["shops"], "item_id": t["items"]})
+    return {**t, "sales": sales, "items": items}
 
 
 def trusted_sales(valid_sales: DataFrame) -> DataFrame:

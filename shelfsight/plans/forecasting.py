@@ -17,7 +17,7 @@ from ..operators.eda import latest_month
 from ..operators.encoding import fill_first_label, fit_encoder, fit_scaler
 from ..operators.monthly import GRAIN
 from ..operators.sampling import stratified_split, time_split
-from ..sources.staging import stage
+from ..sources.staging import spread, stage
 
 
 class Prepared(NamedTuple):
@@ -43,7 +43,7 @@ def prepare(monthly: DataFrame, months: int = 3) -> Prepared:
     encoded = encoder.transform(table).select(*GRAIN, R.TARGET, "is_validation", "features")
     scaler = fit_scaler(encoded.where(~F.col("is_validation")))
     rows = scaler.transform(encoded).drop("scaled_sample")
-    return Prepared(stage(rows, "model-rows"), encoder, scaler)
+    return Prepared(spread(stage(rows, "model-rows"), *GRAIN), encoder, scaler)
 
 
 def fit_models(p: Prepared, names: list[str] | None = None, **params) -> dict[str, Model]:
@@ -79,9 +79,9 @@ def classify(monthly: DataFrame, trees: int = 220, depth: int = 10, seed: int =
     table = stratified_split(R.sales_class(table), "sales_class", GRAIN, R.CLASSES, seed=seed)
     table = fill_feature_matrix(fill_first_label(table, ["shop_region"]), numbers)
     classes = StringIndexerModel.from_labels(R.CLASSES, "sales_class", "class_ix")
-    encoded = stage(
+    encoded = spread(stage(
         classes.transform(fit_encoder(table, numbers, ["shop_region"]).transform(table))
-        .select(*GRAIN, "sales_class", "class_ix", "is_test", "features"), "class-rows")
+        .select(*GRAIN, "sales_class", "class_ix", "is_test", "features"), "class-rows"), *GRAIN)
     model = R.sales_forest(trees, depth, seed).fit(encoded.where(~F.col("is_test")))
     named = IndexToString(inputCol="prediction", outputCol="predicted_class", labels=R.CLASSES)
     scored = named.transform(model.transform(encoded.where("is_test")))

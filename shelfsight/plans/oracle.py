@@ -52,7 +52,7 @@ CTES: dict[str, str] = {
                else cast(cast(floor(l_discount * 1000 + 0.5) / 10 as decimal(18,1)) as varchar) end as discount_pct,
           case when l_orderkey % 307 = 0 then null when l_returnflag = 'R' and l_linenumber = 1
                then -l_quantity else l_quantity end as item_cnt_day,
-          round(l_extendedprice * (1 - l_discount), 4) as revenue_inr,
+          floor(l_extendedprice * (1 - l_discount) * 10000 + 0.5) / 10000 as revenue_inr,
           case when l_discount >= 0.08::double then 1 when l_discount < 0.01::double then null else 0 end as is_promo,
           case when l_returnflag = 'R' and l_linestatus = 'F' then 1 else 0 end as stockout_flag
         from lineitem""",

@@ -72,12 +72,3 @@ def table_profile(tables: dict[str, DataFrame]) -> DataFrame:
             F.lit(name).alias("table_name"), "n_rows",
             F.lit(len(df.columns)).cast("bigint").alias("n_columns"))
         for name, df in tables.items()])
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a source that has fewer splits than the session has cores, such as one unsplittable file.
-
-    A table of cluster size has more splits than cores and is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .readers import spread
+from .staging import spread
 
 SALES = [
     "case when l_orderkey % 997 = 0 then 'not-a-date' else cast(cast(l_shipdate as date) as string) end as date",
@@ -28,7 +28,7 @@ SALES = [
     " as decimal(18,1)) as string) end as discount_pct",
     "case when l_orderkey % 307 = 0 then null when l_returnflag = 'R' and l_linenumber = 1"
     " then -l_quantity else l_quantity end as item_cnt_day",
-    "round(l_extendedprice * (1 - l_discount), 4) as revenue_inr",
+    "floor(l_extendedprice * (1 - l_discount) * 10000 + 0.5) / 10000 as revenue_inr",
     "case when l_discount >= 0.08 then 1 when l_discount < 0.01 then null else 0 end as is_promo",
     "case when l_returnflag = 'R' and l_linestatus = 'F' then 1 else 0 end as stockout_flag",
 ]
@@ -56,9 +56,22 @@ PROMOTIONS = [
 ]
 
 
+# Columns of the test tables in use; naming them spares the schema inference of every file.
+COLUMNS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+}
+
+
 def retail_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     def read(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        return spark.read.schema(COLUMNS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
     lineitem, part = read("lineitem"), read("part")
     lines = spread(lineitem, "l_orderkey")
