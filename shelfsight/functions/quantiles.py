@@ -55,14 +55,26 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]],
 
 
 def _bracket(data: DataFrame, wanted: dict[str, list[float]], accuracy: int) -> list[_Probe]:
-    slack = 2.0 / accuracy
+    """Value ranges that hold both neighbours of each wanted rank.
+
+    The sketch is off by at most 1/accuracy of the rows. Three times that, on
+    both sides, also covers the neighbours once there are ``accuracy`` rows;
+    with fewer, the whole value range is small enough.
+    """
+    slack = 3.0 / accuracy
     aggs = []
     for n, qs in wanted.items():
         edges = [e for q in qs for e in (max(q - slack, 0.0), min(q + slack, 1.0))]
-        aggs += [F.count(n).alias(f"n_{n}"), F.percentile_approx(n, edges, accuracy).alias(f"e_{n}")]
+        aggs += [F.count(n).alias(f"n_{n}"), F.min(n).alias(f"lo_{n}"), F.max(n).alias(f"hi_{n}"),
+                 F.percentile_approx(n, edges, accuracy).alias(f"e_{n}")]
     row = data.agg(*aggs).first()
-    return [_Probe(n, q, row[f"e_{n}"][2 * i], row[f"e_{n}"][2 * i + 1], (row[f"n_{n}"] - 1) * q)
-            for n, qs in wanted.items() for i, q in enumerate(qs) if row[f"n_{n}"]]
+    out = []
+    for name, qs in wanted.items():
+        n, edges = row[f"n_{name}"], row[f"e_{name}"]
+        for i, q in enumerate(qs if n else []):
+            lo, hi = edges[2 * i:2 * i + 2] if n >= accuracy else (row[f"lo_{name}"], row[f"hi_{name}"])
+            out.append(_Probe(name, q, lo, hi, (n - 1) * q))
+    return out
 
 
 def _locate(data: DataFrame, probes: list[_Probe]) -> dict[tuple[str, float], float]:
