@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Estimator
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
@@ -73,18 +73,18 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str, by: list[str]
 def sales_class(df: DataFrame, low: float = 0.33, high: float = 0.66, by_region: bool = False) -> DataFrame:
     """LOW, MEDIUM or HIGH by global quantiles of quantity, or by those of the row's region."""
     if not by_region:
-        q1, q2 = exact_quantiles(df, {"qty": [low, high]}, decimals=4)["qty"]
-        return df.withColumn("sales_class", _class(F.lit(q1), F.lit(q2)))
-    regions = [r[0] for r in df.select("shop_region").distinct().collect()]
-    cuts = {r: exact_quantiles(df.where(F.col("shop_region").eqNullSafe(F.lit(r))),
-                               {"qty": [low, high]}, decimals=4)["qty"] for r in regions}
-    out = F.lit(None).cast("string")
-    for r, (q1, q2) in cuts.items():
-        out = F.when(F.col("shop_region").eqNullSafe(F.lit(r)), _class(F.lit(q1), F.lit(q2))).otherwise(out)
-    return df.withColumn("sales_class", out)
-
-
-def _class(q1, q2):
+        cuts = exact_quantiles(df, {"qty": [low, high]}, decimals=4)["qty"]
+        return df.withColumn("sales_class", _class(*cuts))
+    # one column per region, so all regions share the passes
+    regions = [r[0] for r in df.select("shop_region").distinct().orderBy("shop_region").collect()]
+    inside = {f"qty_{i}": F.col("shop_region").eqNullSafe(F.lit(r)) for i, r in enumerate(regions)}
+    by_column = df.select(*[F.when(hit, F.col("qty")).alias(name) for name, hit in inside.items()])
+    cuts = exact_quantiles(by_column, {name: [low, high] for name in inside}, decimals=4) if inside else {}
+    return df.withColumn("sales_class", F.coalesce(F.lit(None).cast("string"), *[
+        F.when(hit, _class(*cuts[name])) for name, hit in inside.items()]))
+
+
+def _class(q1: float, q2: float) -> Column:
     return F.when(F.col("qty") <= q1, "LOW").when(F.col("qty") <= q2, "MEDIUM").otherwise("HIGH")
 
 
@@ -94,7 +94,7 @@ def confusion_matrix(df: DataFrame, actual: str, predicted: str, labels: list[st
         F.count_if(F.col(predicted) == label).alias(label) for label in labels]))
     rows = df.sparkSession.createDataFrame([(i, label) for i, label in enumerate(labels)],
                                            "position int, actual string")
-    return (F.broadcast(rows).join(counts, "actual", "left").na.fill(0, subset=labels)
+    return (rows.join(counts, "actual", "left").na.fill(0, subset=labels)
             .orderBy("position").drop("position"))
 
 
