@@ -19,7 +19,7 @@ from ..operators import sampling as A
 from ..operators import series as S
 from ..operators.anomaly import isolation_forest, top_anomalies
 from ..sources.readers import read_csv_table, table_profile, typed
-from ..sources.staging import stage, staging_root
+from ..sources.staging import stage, staging_path
 from ..sources.testbed import retail_tables
 from ..sources.writers import write_csv
 from . import features as P
@@ -86,7 +86,7 @@ def table_profiles(raw):
 def csv_round_trip(raw):
     """Promotions through the CSV writer and reader."""
     promotions = raw["promotions"]
-    path = f"{staging_root(promotions.sparkSession)}/{promotions.sparkSession.sparkContext.applicationId}/csv"
+    path = staging_path(promotions.sparkSession, "csv")
     write_csv(promotions, path)
     return typed(read_csv_table(promotions.sparkSession, path), "promotions")
 

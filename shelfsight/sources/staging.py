@@ -10,15 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 def staging_root(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only in local mode without a setting."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="shelfsight-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    spark.sparkContext.setCheckpointDir(root)
-    return root
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        root = tempfile.mkdtemp(prefix="shelfsight-")
+        context.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def staging_path(spark: SparkSession, name: str) -> str:
+    """A new path; the folder's owner cleans it up like any checkpoint."""
+    return f"{staging_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -27,10 +31,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     Used before iterative work. A table beats a cache here: readers prune its
     columns, and a lost executor costs a re-read, not a recomputation.
     """
-    spark = df.sparkSession
-    path = f"{staging_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = staging_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -1,10 +1,12 @@
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
 from shelfsight.operators import decisions as D
 from shelfsight.plans import features as P
 from shelfsight.plans.report import write_reports
-from shelfsight.sources import readers
+from shelfsight.sources import readers, staging
 
 
 def test_profit_identity(monthly, raw):
@@ -49,6 +51,27 @@ def test_csv_with_bom_quotes_and_missing_tokens(spark, tmp_path):
     assert [tuple(r) for r in df.collect()] == [(1, 'a, "b"', 12), (9007199254740993, None, None), (3, None, 7)]
 
 
+def test_staging_folder():
+    class Context:
+        def __init__(self, master):
+            self.master, self.folder = master, None
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+    def session(master, named=None):
+        return SimpleNamespace(sparkContext=Context(master), conf=SimpleNamespace(get=lambda key, default: named))
+
+    assert staging.staging_root(session("yarn", "s3://shared/x/")) == "s3://shared/x"
+    with pytest.raises(RuntimeError):
+        staging.staging_root(session("yarn"))
+    local = session("local[2]")
+    assert staging.staging_root(local) == staging.staging_root(local) == local.sparkContext.folder
+
+
 def test_all_reports_from_csv(spark, raw, tmp_path):
     """The seven tables as CSV in, every result table and model out."""
     for name, df in raw.items():
