@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, ngram_join, quality
+from . import decontamination, line_dedup, ngram_join, quality, secrets, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -35,6 +35,22 @@ def op2_quality_rules(spark, sf_dir):
                                        "n_repeat_words", "base_failed", "kept")
 
 
+@query
+def op4_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+ORACLE_SQL["op4_warc"] = """
+with p as (select page_id, coalesce(html, '') as body from pages),
+d as (select page_id, strlen(body) as payload_bytes, sha256(body) as payload_digest,
+             min(page_id) over (partition by body) as least, count(*) over (partition by body) as n from p)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 100 and page_id <> least then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 100 and page_id <> least then least end as refers_to
+from d
+"""
+
+
 @query
 def op5_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -59,6 +75,11 @@ from marked group by doc_id
 """
 
 
+@query
+def op9_secret_scan(spark, sf_dir):
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_benchmark_decontamination(spark, sf_dir):
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
