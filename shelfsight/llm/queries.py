@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, ngram_join, quality, secrets, warc
+from . import decontamination, line_dedup, ngram_join, quality, secrets, subwords, warc
+
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"  # a public vocabulary; any SentencePiece model of merges will do
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -35,6 +37,11 @@ def op2_quality_rules(spark, sf_dir):
                                        "n_repeat_words", "base_failed", "kept")
 
 
+@query
+def op3_sentencepiece(spark, sf_dir):
+    return subwords.round_trip(table(spark, sf_dir, "documents"), MODEL)
+
+
 @query
 def op4_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
