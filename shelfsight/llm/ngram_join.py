@@ -4,11 +4,14 @@ A document's set: its distinct five-word shingles, lower-cased. Documents link w
 100 x intersection >= 80 x union. The steps:
 
 1. Equal sets become one class (``cls``, a 64-bit hash of the set); all later work is on classes.
-2. Shingles that many documents hold are found by exact counts per chunk, and come last in the global order
-   of tokens, so that a prefix seldom has them. Any order is right; this one keeps index lists short.
-3. Every class puts the tokens of its prefix (size - ceil(0.8 size) + 1 of them) into the inverted index,
-   whose lists are sorted by size. Neighbours in a list whose sizes fit are joined into a block; where sizes
-   don't fit, the chain breaks and whole blocks are skipped. Lists of frequent tokens are salted.
+2. The global order of tokens puts rare ones first. Each task packs the top 32 bits of its shingles into sorted
+   differences; reducers count them by range and give back a bit map of fixed size per frequency (2, 4, 8, ...),
+   and the smallest frequency whose map is sparse enough is shipped. Any order gives right results; this one
+   keeps shared passages out of the index unless nearly the whole text is shared.
+3. Every class puts the tokens of its prefix (size - ceil(0.8 size) + 1 of them) into the inverted index, but
+   for those that the map proves to be unique. Lists are sorted by size. Neighbours in a list whose sizes fit are
+   joined into a block; where sizes don't fit, the chain breaks and whole blocks are skipped. Lists of frequent
+   tokens are salted.
 4. Blocks that share classes form clusters; only classes of one cluster can link. Each cluster's sets are
    dealt to tasks once, a large cluster in pairs of parts.
 5. In a task, the overlap counts of a set with all others are derived from those of the set before it, by the
@@ -37,8 +40,13 @@ from .words import WordHashes, longs, pieces, runs, texts, windows
 
 WIDTH = 5
 PERCENT = 80
-FREQUENT = 0.001  # a shingle in more than this share of the documents comes last in the order
-CHUNK_SHINGLES = 2_000_000
+RANGES = 4096  # of the top 32 bits of a shingle
+MAP_BITS = 27  # the bit map of frequent shingles takes 2**27 bits, 16 MB, whatever the size of the corpus
+MAP_SHARE = 0.125  # and is of use while at most this share of its bits is set
+STEPS = [2 ** k for k in range(1, 25)]  # frequencies that have a map
+CHUNK_SHINGLES = 4_000_000
+RANGE_VALUES = 4_000_000  # values of a range that are sorted at once; more are counted slot by slot
+SALTED = 1_000  # an index list is salted if its token may be in more than one in so many documents
 SALTS = 32
 PART_SHINGLES = 500_000  # shingles of a cluster's part that a task holds; two parts at a time
 
@@ -56,52 +64,143 @@ def class_of(shingles: np.ndarray) -> int:
     return (xxhash.xxh64_intdigest(shingles.tobytes()) or 1) - (1 << 63)
 
 
-def prefix(shingles: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens a set is indexed under, and which of them are frequent."""
-    n = len(shingles)
-    size = n - (PERCENT * n + 99) // 100 + 1
-    if not len(frequent):
-        return shingles[:size], np.zeros(size, bool)
-    place = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
-    often = frequent[place] == shingles
-    order = np.argsort(often, kind="stable")[:size]
-    return shingles[order], often[order]
+def pack(values: np.ndarray) -> bytes:
+    """Sorted 32-bit values as their differences in 16 bits, or plainly where a difference is larger."""
+    gaps = np.diff(values)
+    if len(gaps) and int(gaps.max()) >= 1 << 16:
+        return b"\0" + values.tobytes()
+    return b"\1" + values[:1].tobytes() + gaps.astype(np.uint16).tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    if packed[0] == 0:
+        return np.frombuffer(packed, np.uint32, offset=1)
+    first, gaps = np.frombuffer(packed[1:5], np.uint32), np.frombuffer(packed, np.uint16, offset=5)
+    return np.cumsum(np.append(first, gaps), dtype=np.uint64).astype(np.uint32)
 
 
 def measured(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """kind 0: (doc_id, size, class) of each document; kind 1: (shingle, documents) of frequent ones in a chunk."""
+    """kind 0: (doc_id, size, class) of each document; kind 1: a range's shingles in a chunk, packed."""
     narrow = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
+    names = ["kind", "id", "n", "cls", "packed"]
 
     def task(batches: Iterator[pa.RecordBatch]):
-        cache, held, n_docs, n_held = WordHashes(), [], 0, 0
-
-        def often():
-            tokens, times = np.unique(np.concatenate(held), return_counts=True)
-            many = times >= max(3, FREQUENT * n_docs)
-            k = int(many.sum())
+        cache, seen, held, n_held = WordHashes(), set(), [], 0
+
+        def ranges():
+            values = np.sort((np.concatenate(held) >> np.uint64(32)).astype(np.uint32))
+            starts = np.searchsorted(values, np.arange(RANGES, dtype=np.uint64) << np.uint64(20))
+            full = [r for r, (a, b) in enumerate(zip(starts, np.append(starts[1:], len(values)))) if b > a]
+            ends = np.append(starts[1:], len(values))
+            k = len(full)
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(k, np.int32)), pa.array(longs(tokens[many])), pa.array(times[many].astype(np.int64)),
-                 pa.array(np.zeros(k, np.int64))], ["kind", "id", "n", "cls"])
+                [pa.array(np.ones(k, np.int32)), pa.array(full, pa.int64()), pa.nulls(k, pa.int64()),
+                 pa.nulls(k, pa.int64()), pa.array([pack(values[starts[r]:ends[r]]) for r in full], pa.binary())], names)
 
         for batch in pieces(batches):
             sets = [shingle_set(x, cache) for x in texts(batch.column("text"))]
+            classes = [class_of(s) for s in sets]
+            n = len(sets)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(len(sets), np.int32)), batch.column("id"),
-                 pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) for s in sets], pa.int64())],
-                ["kind", "id", "n", "cls"])
-            held += sets
-            n_docs += len(sets)
-            n_held += sum(map(len, sets))
+                [pa.array(np.zeros(n, np.int32)), batch.column("id"), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array(classes, pa.int64()), pa.nulls(n, pa.binary())], names)
+            for s, c in zip(sets, classes):
+                if len(s) and c not in seen:
+                    seen.add(c)
+                    held.append(s)
+                    n_held += len(s)
             if n_held >= CHUNK_SHINGLES:
-                yield often()
-                held, n_docs, n_held = [], 0, 0
+                yield ranges()
+                held, n_held = [], 0
         if n_held:
-            yield often()
+            yield ranges()
 
-    return narrow.mapInArrow(task, "kind int, id bigint, n bigint, cls bigint")
+    return narrow.mapInArrow(task, "kind int, id bigint, n bigint, cls bigint, packed binary")
+
+
+def frequency_maps(packed: DataFrame) -> DataFrame:
+    """(range, step, bits, slice): the part of each frequency's bit map that a range of shingles fills."""
+    fold = 32 - MAP_BITS
+    width = (1 << MAP_BITS) // RANGES
+
+    def task(batches: Iterator[pa.RecordBatch]):
+        for group in runs(batches, ["id"]):
+            r = int(group.column("id")[0].as_py())
+            held, n, counts = [], 0, None
+
+            def spill(counts):
+                counts = np.zeros(1 << 20, np.int64) if counts is None else counts
+                np.add.at(counts, np.concatenate(held) & np.uint32((1 << 20) - 1), 1)
+                return counts
+
+            for x in group.column("packed").to_pylist():
+                held.append(unpack(x))
+                n += len(held[-1])
+                if n >= RANGE_VALUES:
+                    counts, held, n = spill(counts), [], 0
+            if counts is None:
+                values, times = np.unique(np.concatenate(held), return_counts=True)
+                slots = (values & np.uint32((1 << 20) - 1)) >> np.uint32(fold)
+            else:
+                counts = spill(counts) if held else counts
+                slots = np.flatnonzero(counts) >> fold
+                times = counts[counts > 0]
+            rows = []
+            for step in STEPS:
+                chosen = slots[times >= step]
+                if not len(chosen):
+                    break
+                bits = np.zeros(width, bool)
+                bits[chosen] = True
+                rows.append((r, step, int(bits.sum()), np.packbits(bits).tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
+                    ["range", "step", "bits", "slice"])
+
+    return packed.repartition("id").sortWithinPartitions("id") \
+        .mapInArrow(task, "range bigint, step bigint, bits bigint, slice binary")
+
+
+class Frequent:
+    """Bit maps of fixed size: ``often`` puts a token late in the order, ``hot`` salts its list."""
+
+    def __init__(self, step: int, often: np.ndarray, hot: np.ndarray):
+        self.proves_unique = step == 2  # a token that isn't in the map of frequency 2 is in one class only
+        self.often, self.hot = often, hot
+
+    @staticmethod
+    def test(bits: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        slot = (tokens >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+        return (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+
+
+def frequent(maps: DataFrame, n_docs: int) -> Frequent:
+    filled = {r["step"]: r["bits"] for r in maps.groupBy("step").agg(F.sum("bits").alias("bits")).collect()}
+    step = next((s for s in STEPS if filled.get(s, 0) <= MAP_SHARE * 2 ** MAP_BITS), STEPS[-1])
+    hot = next(s for s in STEPS if s >= min(STEPS[-1], max(64, n_docs / SALTED)))
+
+    def bit_map(chosen: int) -> np.ndarray:
+        out, size = np.zeros((1 << MAP_BITS) // 8, np.uint8), (1 << MAP_BITS) // 8 // RANGES
+        for row in maps.where(F.col("step") == chosen).select("range", "slice").toLocalIterator():
+            out[row["range"] * size:(row["range"] + 1) * size] = np.frombuffer(row["slice"], np.uint8)
+        return out
+
+    return Frequent(step, bit_map(step), bit_map(hot))
+
+
+def prefix(shingles: np.ndarray, order: Frequent) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens a set is indexed under, and which of them have a salted list."""
+    n = len(shingles)
+    often = order.test(order.often, shingles)
+    at = np.argsort(often, kind="stable")[:n - (PERCENT * n + 99) // 100 + 1]
+    if order.proves_unique:
+        at = at[often[at]]
+    chosen = shingles[at]
+    return chosen, order.test(order.hot, chosen)
 
 
-def index(docs: DataFrame, frequent, text: str) -> DataFrame:
+def index(docs: DataFrame, order, text: str) -> DataFrame:
     """(token, salt, n, cls): the inverted index; a class once per task."""
     def task(batches: Iterator[pa.RecordBatch]):
         cache, seen = WordHashes(), set()
@@ -113,9 +212,9 @@ def index(docs: DataFrame, frequent, text: str) -> DataFrame:
                 if not len(s) or c in seen:
                     continue
                 seen.add(c)
-                t, often = prefix(s, frequent.value)
+                t, hot = prefix(s, order.value)
                 tokens.append(t)
-                salts.append(np.where(often, 1 + c % SALTS, 0).astype(np.int32))
+                salts.append(np.where(hot, 1 + c % SALTS, 0).astype(np.int32))
                 sizes.append(len(s))
                 names.append(c)
             if not names:
@@ -226,8 +325,10 @@ def cluster_links(dealt: DataFrame) -> DataFrame:
             i, j = int(group.column("i")[0].as_py()), int(group.column("j")[0].as_py())
             names = group.column("cls").to_numpy()
             sets = [np.frombuffer(x, dtype=np.uint64) for x in group.column("shingles").to_pylist()]
-            right = np.flatnonzero(part == j)
-            left = np.flatnonzero(part == i)
+            once = np.zeros(len(names), bool)
+            once[np.unique(names, return_index=True)[1]] = True  # tasks may bring the same class
+            right = np.flatnonzero((part == j) & once)
+            left = np.flatnonzero((part == i) & once)
             if not len(left) or not len(right):
                 continue
             linked = Links(names[right], [sets[k] for k in right])
@@ -243,7 +344,7 @@ def cluster_links(dealt: DataFrame) -> DataFrame:
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
-    """(cls, shingles) of the wanted classes, each once."""
+    """The wanted classes (cls, ...) with their shingles, each class once per task."""
     def task(batches: Iterator[pa.RecordBatch]):
         cache, seen = WordHashes(), set()
         for batch in pieces(batches):
@@ -259,8 +360,7 @@ def class_sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
                                              ["cls", "shingles"])
 
     found = docs.select(F.col(text).alias("text")).mapInArrow(task, "cls bigint, shingles binary")
-    return found.join(hinted(wanted.select("cls")), "cls", "left_semi") \
-        .groupBy("cls").agg(F.first("shingles").alias("shingles"))
+    return found.join(hinted(wanted), "cls")
 
 
 def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
@@ -269,19 +369,15 @@ def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     spark = docs.sparkSession
     facts = written(measured(docs, text, doc_id), "join-facts")
     members = facts.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "cls")
-    n_docs = members.count()
-    often = facts.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")) \
-        .where(F.col("n") >= max(3, FREQUENT * n_docs))
-    # Their number is bounded by (shingles of a mean document / FREQUENT), whatever the size of the corpus.
-    rows = np.sort(np.array([r["id"] for r in often.select("id").collect()], dtype=np.int64).view(np.uint64))
-    frequent = spark.sparkContext.broadcast(rows)
-    edges = block_edges(index(docs, frequent, text))
-    clusters = written(components(edges, "join-clusters").withColumnRenamed("node", "cls")
-                       .withColumnRenamed("root", "cluster"), "join-clusters")
+    maps = written(frequency_maps(facts.where("kind = 1").select("id", "packed")), "join-maps")
+    order = spark.sparkContext.broadcast(frequent(maps, members.count()))
+    clusters = components(block_edges(index(docs, order, text)), "join-clusters") \
+        .withColumnRenamed("node", "cls").withColumnRenamed("root", "cluster")
     sizes = members.select("cls", "n_shingles").distinct().join(clusters, "cls").groupBy("cluster") \
         .agg(F.sum("n_shingles").alias("total"))
     parts = sizes.select("cluster", F.ceil(F.col("total") / part_shingles).cast("int").alias("parts"))
-    sets = class_sets(docs, clusters, text).join(clusters, "cls").join(parts, "cluster")
+    wanted = written(clusters.join(parts, "cluster"), "join-wanted")
+    sets = class_sets(docs, wanted, text)
     part = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(
         F.least(k, F.col("part")).alias("i"), F.greatest(k, F.col("part")).alias("j")))
