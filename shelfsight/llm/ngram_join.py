@@ -12,11 +12,13 @@ A document's set: its distinct five-word shingles, lower-cased. Documents link w
    for those that the map proves to be unique. Lists are sorted by size. Neighbours in a list whose sizes fit are
    joined into a block; where sizes don't fit, the chain breaks and whole blocks are skipped. Lists of frequent
    tokens are salted.
-4. Blocks that share classes form clusters; only classes of one cluster can link. Each cluster's sets are
-   dealt to tasks once, a large cluster in pairs of parts.
-5. In a task, the overlap counts of a set with all others are derived from those of the set before it, by the
-   index lists of the few tokens in which both differ, when that is less work than starting anew. Lists are by
-   size, so only the range of fitting sizes is compared. What leaves the task is a spanning forest of links.
+4. Blocks that share classes form clusters; only classes of one cluster can link. Shared passages may chain many
+   classes into one, so clusters are refined: from the overlap of two prefixes follows a bound for the whole
+   overlap, and only pairs that keep it stay connected.
+5. A cluster's prefixes, and then the whole sets of a refined one, are dealt to tasks, a large cluster in pairs
+   of parts. In a task, the overlap counts of a set with all others are derived from those of the set before it,
+   by the index lists of the few tokens in which both differ, when that is less work than starting anew. Lists are
+   by size, so only the range of fitting sizes is compared. What leaves the task is a spanning forest of links.
 
 Defined results: null, empty and wordless texts have an empty set and link with nothing; fewer than five words
 make one shingle; a null doc_id has a null component unless it links with a document that has one; repeated rows
@@ -48,7 +50,8 @@ CHUNK_SHINGLES = 4_000_000
 RANGE_VALUES = 4_000_000  # values of a range that are sorted at once; more are counted slot by slot
 SALTED = 1_000  # an index list is salted if its token may be in more than one in so many documents
 SALTS = 32
-PART_SHINGLES = 500_000  # shingles of a cluster's part that a task holds; two parts at a time
+PART_SHINGLES = 500_000  # tokens of a cluster's part that a task holds; two parts at a time
+NO_ID = -(1 << 63)
 
 
 def shingle_set(text: bytes, cache: WordHashes) -> np.ndarray:
@@ -249,15 +252,25 @@ def block_edges(indexed: DataFrame) -> DataFrame:
         .unionByName(heads.where(loose).select(F.col("cls").alias("a"), F.col("before").alias("b"))).distinct()
 
 
+def jaccard_holds(n: int, sizes: np.ndarray, both: np.ndarray) -> np.ndarray:
+    return 100 * both >= PERCENT * (n + sizes - both)
+
+
+def prefix_bound_holds(n: int, sizes: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """Whether sets whose prefixes share ``both`` tokens can link: past the prefix that ends first in the order,
+    no more can be shared than its set has left."""
+    left = np.maximum((PERCENT * n + 99) // 100, (PERCENT * sizes + 99) // 100) - 1
+    return (100 + PERCENT) * (both + left) >= PERCENT * (n + sizes)
+
+
 class Links:
     """Links among the sets of one part, or between two parts."""
 
-    def __init__(self, names: np.ndarray, sets: list[np.ndarray]):
-        order = np.argsort([len(s) for s in sets], kind="stable")
-        self.names, self.sets = names[order], [sets[i] for i in order]
-        self.sizes = np.array([len(s) for s in self.sets], dtype=np.int64)
+    def __init__(self, names: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, holds=jaccard_holds):
+        order = np.argsort(sizes, kind="stable")
+        self.names, self.sets, self.sizes, self.holds = names[order], [sets[i] for i in order], sizes[order], holds
         flat = np.concatenate(self.sets)
-        owner = np.repeat(np.arange(len(self.sets)), self.sizes)
+        owner = np.repeat(np.arange(len(self.sets)), [len(s) for s in self.sets])
         by_token = np.argsort(flat, kind="stable")  # owners stay in order of size
         self.owner = owner[by_token]
         self.tokens, self.starts = np.unique(flat[by_token], return_index=True)
@@ -276,7 +289,7 @@ class Links:
         at = np.arange(ends[-1]) + np.repeat(self.starts[place] - (ends - size), size)
         return np.bincount(self.owner[at], minlength=len(self.sets))
 
-    def forest(self, names: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    def forest(self, names: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray) -> list[tuple[int, int]]:
         """A spanning forest of the links between ``sets`` and the indexed ones."""
         root: dict[int, int] = {}
 
@@ -287,8 +300,7 @@ class Links:
             return x
 
         found, before, counts = [], None, None
-        for name, tokens in zip(names.tolist(), sets):
-            n = len(tokens)
+        for name, tokens, n in zip(names.tolist(), sets, sizes.tolist()):
             low = int(np.searchsorted(self.sizes, -(-PERCENT * n // 100)))
             high = int(np.searchsorted(self.sizes, 100 * n // PERCENT, side="right"))
             if low >= high:
@@ -296,13 +308,13 @@ class Links:
             if before is not None:
                 gone = np.setdiff1d(before, tokens, assume_unique=True)
                 come = np.setdiff1d(tokens, before, assume_unique=True)
-            if before is not None and len(gone) + len(come) < n:
+            if before is not None and len(gone) + len(come) < len(tokens):
                 counts = counts - self.overlaps(gone) + self.overlaps(come)
             else:
                 counts = self.overlaps(tokens)
             before = tokens
             both = counts[low:high]
-            for k in (low + np.flatnonzero(100 * both >= PERCENT * (n + self.sizes[low:high] - both))).tolist():
+            for k in (low + np.flatnonzero(self.holds(n, self.sizes[low:high], both))).tolist():
                 other = int(self.names[k])
                 x, y = find(name), find(other)
                 if x != y:
@@ -316,51 +328,86 @@ def similar_order(sets: list[np.ndarray]) -> list[int]:
     return sorted(range(len(sets)), key=lambda i: sets[i][:4].tolist())
 
 
+def part_links(names: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, part: np.ndarray, i: int, j: int,
+               holds) -> pa.RecordBatch | None:
+    """A spanning forest of the links between parts ``i`` and ``j`` of a cluster."""
+    once = np.zeros(len(names), bool)
+    once[np.unique(names, return_index=True)[1]] = True  # tasks may bring the same class
+    right, left = np.flatnonzero((part == j) & once), np.flatnonzero((part == i) & once)
+    if not len(left) or not len(right):
+        return None
+    linked = Links(names[right], [sets[k] for k in right], sizes[right], holds)
+    left = left[similar_order([sets[k] for k in left])]
+    found = linked.forest(names[left], [sets[k] for k in left], sizes[left])
+    if not found:
+        return None
+    a, b = zip(*found)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+KEYS = ["cluster", "i", "j"]
+
+
+def deal(rows: DataFrame, clusters: DataFrame, weights: DataFrame, on: list[str], part_shingles: int) -> DataFrame:
+    """``rows`` (by ``cls``) with the cluster and each pair of parts they belong to, sorted by them."""
+    parts = weights.select("cluster", F.greatest(F.lit(1), F.ceil(F.col("total") / part_shingles)).cast("int").alias("parts"))
+    placed = hinted(written(clusters.join(parts, "cluster"), "join-placed"))
+    part = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(
+        F.least(k, F.col("part")).alias("i"), F.greatest(k, F.col("part")).alias("j")))
+    dealt = rows.join(placed, on).withColumn("part", part).withColumn("pair", F.explode(pairs))
+    return dealt.select("cluster", "pair.i", "pair.j", "part", *rows.columns) \
+        .repartition(*KEYS).sortWithinPartitions(*KEYS, "cls")
+
+
+def refined(indexed: DataFrame, clusters: DataFrame, part_shingles: int) -> DataFrame:
+    """(a, b) of the classes whose prefixes leave a link possible, as spanning forests."""
+    rows = indexed.select("cls", "token", "n").join(hinted(clusters), "cls")
+    dealt = deal(indexed.select("cls", "token", "n"), clusters,
+                 rows.groupBy("cluster").agg(F.count("*").alias("total")), ["cls"], part_shingles)
+
+    def task(batches: Iterator[pa.RecordBatch]):
+        for group in runs(batches, KEYS):
+            names, starts = np.unique(group.column("cls").to_numpy(), return_index=True)  # rows are sorted by class
+            tokens = group.column("token").to_numpy().view(np.uint64)
+            sets = [np.unique(x) for x in np.split(tokens, starts[1:])]
+            found = part_links(names, sets, group.column("n").to_numpy()[starts].astype(np.int64),
+                               group.column("part").to_numpy()[starts], group.column("i")[0].as_py(),
+                               group.column("j")[0].as_py(), prefix_bound_holds)
+            if found is not None:
+                yield found
+
+    return dealt.mapInArrow(task, "a bigint, b bigint")
+
+
 def cluster_links(dealt: DataFrame) -> DataFrame:
     """(a, b) from rows (cluster, i, j, part, cls, shingles): one task run per pair of parts."""
     def task(batches: Iterator[pa.RecordBatch]):
-        for group in runs(batches, ["cluster", "i", "j"]):
-            group = group.combine_chunks()
-            part = group.column("part").to_numpy()
-            i, j = int(group.column("i")[0].as_py()), int(group.column("j")[0].as_py())
-            names = group.column("cls").to_numpy()
+        for group in runs(batches, KEYS):
             sets = [np.frombuffer(x, dtype=np.uint64) for x in group.column("shingles").to_pylist()]
-            once = np.zeros(len(names), bool)
-            once[np.unique(names, return_index=True)[1]] = True  # tasks may bring the same class
-            right = np.flatnonzero((part == j) & once)
-            left = np.flatnonzero((part == i) & once)
-            if not len(left) or not len(right):
-                continue
-            linked = Links(names[right], [sets[k] for k in right])
-            ours = [sets[k] for k in left]
-            order = similar_order(ours)
-            found = linked.forest(names[left][order], [ours[k] for k in order])
-            if found:
-                a, b = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            found = part_links(group.column("cls").to_numpy(), sets, np.array([len(x) for x in sets], np.int64),
+                               group.column("part").to_numpy(), group.column("i")[0].as_py(),
+                               group.column("j")[0].as_py(), jaccard_holds)
+            if found is not None:
+                yield found
 
-    keys = ["cluster", "i", "j"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys, "part").mapInArrow(task, "a bigint, b bigint")
+    return dealt.mapInArrow(task, "a bigint, b bigint")
 
 
-def class_sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
-    """The wanted classes (cls, ...) with their shingles, each class once per task."""
+def class_sets(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(cls, holder, shingles) of every document with words."""
     def task(batches: Iterator[pa.RecordBatch]):
-        cache, seen = WordHashes(), set()
+        cache = WordHashes()
         for batch in pieces(batches):
-            names, sets = [], []
-            for x in texts(batch.column("text")):
-                s = shingle_set(x, cache)
-                c = class_of(s)
-                if len(s) and c not in seen:
-                    seen.add(c)
-                    names.append(c)
-                    sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())],
-                                             ["cls", "shingles"])
+            sets = [shingle_set(x, cache) for x in texts(batch.column("text"))]
+            full = [k for k, s in enumerate(sets) if len(s)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([class_of(sets[k]) for k in full], pa.int64()), batch.column("id").take(pa.array(full, pa.int64())),
+                 pa.array([sets[k].tobytes() for k in full], pa.binary())], ["cls", "holder", "shingles"])
 
-    found = docs.select(F.col(text).alias("text")).mapInArrow(task, "cls bigint, shingles binary")
-    return found.join(hinted(wanted), "cls")
+    holder = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID))
+    return docs.select(holder.alias("id"), F.col(text).alias("text")) \
+        .mapInArrow(task, "cls bigint, holder bigint, shingles binary")
 
 
 def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
@@ -371,18 +418,19 @@ def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     members = facts.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "cls")
     maps = written(frequency_maps(facts.where("kind = 1").select("id", "packed")), "join-maps")
     order = spark.sparkContext.broadcast(frequent(maps, members.count()))
-    clusters = components(block_edges(index(docs, order, text)), "join-clusters") \
-        .withColumnRenamed("node", "cls").withColumnRenamed("root", "cluster")
-    sizes = members.select("cls", "n_shingles").distinct().join(clusters, "cls").groupBy("cluster") \
-        .agg(F.sum("n_shingles").alias("total"))
-    parts = sizes.select("cluster", F.ceil(F.col("total") / part_shingles).cast("int").alias("parts"))
-    wanted = written(clusters.join(parts, "cluster"), "join-wanted")
-    sets = class_sets(docs, wanted, text)
-    part = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(
-        F.least(k, F.col("part")).alias("i"), F.greatest(k, F.col("part")).alias("j")))
-    dealt = sets.withColumn("part", part).withColumn("pair", F.explode(pairs)) \
-        .select("cluster", "pair.i", "pair.j", "part", "cls", "shingles")
+    indexed = written(index(docs, order, text), "join-index")
+
+    def clustered(edges: DataFrame) -> DataFrame:
+        return written(components(edges, "join-clusters").withColumnRenamed("node", "cls")
+                       .withColumnRenamed("root", "cluster"), "join-clusters")
+
+    clusters = clustered(refined(indexed, clustered(block_edges(indexed)), part_shingles))
+    # one document brings the set of its class
+    holders = members.groupBy("cls").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("holder"),
+                                         F.first("n_shingles").alias("n"))
+    clusters = written(clusters.join(holders, "cls"), "join-holders")
+    weights = clusters.groupBy("cluster").agg(F.sum("n").alias("total"))
+    dealt = deal(class_sets(docs, text, doc_id), clusters.drop("n"), weights, ["cls", "holder"], part_shingles)
     return members, cluster_links(dealt)
 
 
