@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, licenses, line_dedup, ngram_join, quality, secrets, subwords, warc
+from . import decontamination, html_text, licenses, line_dedup, ngram_join, passages, quality, secrets, subwords, warc
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"  # a public vocabulary; any SentencePiece model of merges will do
 
@@ -87,6 +87,11 @@ def op6_license_scan(spark, sf_dir):
     return licenses.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_substring_dedup(spark, sf_dir):
+    return passages.shared(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_html_extraction(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
