@@ -38,7 +38,7 @@ from pyspark.sql.window import Window
 
 from .components import components
 from .store import hinted, written
-from .words import WordHashes, longs, pieces, runs, texts, windows
+from .words import WordHashes, lists, longs, pieces, runs, texts, windows
 
 WIDTH = 5
 PERCENT = 80
@@ -50,6 +50,7 @@ CHUNK_SHINGLES = 4_000_000
 RANGE_VALUES = 4_000_000  # values of a range that are sorted at once; more are counted slot by slot
 SALTED = 1_000  # an index list is salted if its token may be in more than one in so many documents
 SALTS = 32
+PART_PREFIX = 1_500_000  # tokens of prefixes that a part of a cluster holds
 PART_SHINGLES = 500_000  # tokens of a cluster's part that a task holds; two parts at a time
 NO_ID = -(1 << 63)
 
@@ -166,16 +167,26 @@ def frequency_maps(packed: DataFrame) -> DataFrame:
 
 
 class Frequent:
-    """Bit maps of fixed size: ``often`` puts a token late in the order, ``hot`` salts its list."""
+    """``often``, a bit map of fixed size, puts a token late in the order; ``hot``, the sorted places of the few most
+    frequent ones (at most SALTED x shingles of a mean document), salts its list."""
 
     def __init__(self, step: int, often: np.ndarray, hot: np.ndarray):
         self.proves_unique = step == 2  # a token that isn't in the map of frequency 2 is in one class only
         self.often, self.hot = often, hot
 
     @staticmethod
-    def test(bits: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-        slot = (tokens >> np.uint64(64 - MAP_BITS)).astype(np.int64)
-        return (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+    def slots(tokens: np.ndarray) -> np.ndarray:
+        return (tokens >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+
+    def is_often(self, tokens: np.ndarray) -> np.ndarray:
+        slot = self.slots(tokens)
+        return (self.often[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+
+    def is_hot(self, tokens: np.ndarray) -> np.ndarray:
+        if not len(self.hot):
+            return np.zeros(len(tokens), bool)
+        slot = self.slots(tokens)
+        return self.hot[np.minimum(np.searchsorted(self.hot, slot), len(self.hot) - 1)] == slot
 
 
 def frequent(maps: DataFrame, n_docs: int) -> Frequent:
@@ -183,28 +194,32 @@ def frequent(maps: DataFrame, n_docs: int) -> Frequent:
     step = next((s for s in STEPS if filled.get(s, 0) <= MAP_SHARE * 2 ** MAP_BITS), STEPS[-1])
     hot = next(s for s in STEPS if s >= min(STEPS[-1], max(64, n_docs / SALTED)))
 
-    def bit_map(chosen: int) -> np.ndarray:
-        out, size = np.zeros((1 << MAP_BITS) // 8, np.uint8), (1 << MAP_BITS) // 8 // RANGES
+    size = (1 << MAP_BITS) // 8 // RANGES
+
+    def slices(chosen: int):
         for row in maps.where(F.col("step") == chosen).select("range", "slice").toLocalIterator():
-            out[row["range"] * size:(row["range"] + 1) * size] = np.frombuffer(row["slice"], np.uint8)
-        return out
+            yield row["range"], np.frombuffer(row["slice"], np.uint8)
 
-    return Frequent(step, bit_map(step), bit_map(hot))
+    often = np.zeros(size * RANGES, np.uint8)
+    for k, bits in slices(step):
+        often[k * size:(k + 1) * size] = bits
+    places = [k * size * 8 + np.flatnonzero(np.unpackbits(bits)) for k, bits in slices(hot)]
+    return Frequent(step, often, np.sort(np.concatenate(places)) if places else np.zeros(0, np.int64))
 
 
 def prefix(shingles: np.ndarray, order: Frequent) -> tuple[np.ndarray, np.ndarray]:
     """The tokens a set is indexed under, and which of them have a salted list."""
     n = len(shingles)
-    often = order.test(order.often, shingles)
+    often = order.is_often(shingles)
     at = np.argsort(often, kind="stable")[:n - (PERCENT * n + 99) // 100 + 1]
     if order.proves_unique:
         at = at[often[at]]
     chosen = shingles[at]
-    return chosen, order.test(order.hot, chosen)
+    return chosen, order.is_hot(chosen)
 
 
 def index(docs: DataFrame, order, text: str) -> DataFrame:
-    """(token, salt, n, cls): the inverted index; a class once per task."""
+    """(cls, n, tokens, salts): the tokens each class is indexed under; a class once per task."""
     def task(batches: Iterator[pa.RecordBatch]):
         cache, seen = WordHashes(), set()
         for batch in pieces(batches):
@@ -216,26 +231,29 @@ def index(docs: DataFrame, order, text: str) -> DataFrame:
                     continue
                 seen.add(c)
                 t, hot = prefix(s, order.value)
+                if not len(t):
+                    continue
                 tokens.append(t)
                 salts.append(np.where(hot, 1 + c % SALTS, 0).astype(np.int32))
                 sizes.append(len(s))
                 names.append(c)
             if not names:
                 continue
-            times = [len(t) for t in tokens]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(longs(np.concatenate(tokens))), pa.array(np.concatenate(salts)),
-                 pa.array(np.repeat(np.array(sizes, np.int32), times)),
-                 pa.array(np.repeat(np.array(names, np.int64), times))], ["token", "salt", "n", "cls"])
+                [pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), lists([longs(t) for t in tokens], pa.int64()),
+                 lists(salts, pa.int32())], ["cls", "n", "tokens", "salts"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(task, "token bigint, salt int, n int, cls bigint")
+    return docs.select(F.col(text).alias("text")) \
+        .mapInArrow(task, "cls bigint, n int, tokens array<bigint>, salts array<int>")
 
 
 def block_edges(indexed: DataFrame) -> DataFrame:
     """(a, b): neighbours of an index list whose sizes fit; whoever can link in a list is joined by a chain of them."""
     chain = Window.partitionBy("token", "salt").orderBy("n", "cls")
     band = F.floor(F.log(100 / PERCENT, F.col("n")))
-    rows = indexed.withColumn("band", band).select(
+    listed = indexed.select("cls", "n", F.explode(F.arrays_zip("tokens", "salts")).alias("t")) \
+        .select(F.col("t.tokens").alias("token"), F.col("t.salts").alias("salt"), "n", "cls")
+    rows = listed.withColumn("band", band).select(
         "token", "salt", "n", "cls", "band", F.lag("cls").over(chain).alias("before"),
         F.lag("n").over(chain).alias("n_before"), F.lag("band").over(chain).alias("band_before"))
     fits = F.col("before").isNotNull() & (F.col("before") != F.col("cls")) \
@@ -360,19 +378,19 @@ def deal(rows: DataFrame, clusters: DataFrame, weights: DataFrame, on: list[str]
         .repartition(*KEYS).sortWithinPartitions(*KEYS, "cls")
 
 
-def refined(indexed: DataFrame, clusters: DataFrame, part_shingles: int) -> DataFrame:
+def refined(indexed: DataFrame, clusters: DataFrame, part_tokens: int) -> DataFrame:
     """(a, b) of the classes whose prefixes leave a link possible, as spanning forests."""
-    rows = indexed.select("cls", "token", "n").join(hinted(clusters), "cls")
-    dealt = deal(indexed.select("cls", "token", "n"), clusters,
-                 rows.groupBy("cluster").agg(F.count("*").alias("total")), ["cls"], part_shingles)
+    rows = indexed.select("cls", "n", "tokens")
+    weights = rows.join(hinted(clusters), "cls").groupBy("cluster").agg(F.sum(F.size("tokens")).alias("total"))
+    dealt = deal(rows, clusters, weights, ["cls"], part_tokens)
 
     def task(batches: Iterator[pa.RecordBatch]):
         for group in runs(batches, KEYS):
-            names, starts = np.unique(group.column("cls").to_numpy(), return_index=True)  # rows are sorted by class
-            tokens = group.column("token").to_numpy().view(np.uint64)
-            sets = [np.unique(x) for x in np.split(tokens, starts[1:])]
-            found = part_links(names, sets, group.column("n").to_numpy()[starts].astype(np.int64),
-                               group.column("part").to_numpy()[starts], group.column("i")[0].as_py(),
+            column = group.column("tokens").combine_chunks()
+            flat, ends = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+            sets = [np.sort(flat[a:b]) for a, b in zip(ends, ends[1:])]
+            found = part_links(group.column("cls").to_numpy(), sets, group.column("n").to_numpy().astype(np.int64),
+                               group.column("part").to_numpy(), group.column("i")[0].as_py(),
                                group.column("j")[0].as_py(), prefix_bound_holds)
             if found is not None:
                 yield found
@@ -411,7 +429,7 @@ def class_sets(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
-           part_shingles: int = PART_SHINGLES) -> tuple[DataFrame, DataFrame]:
+           part_shingles: int = PART_SHINGLES, part_prefix: int = PART_PREFIX) -> tuple[DataFrame, DataFrame]:
     """Membership (doc_id, n_shingles, cls) and links (a, b) between classes that span every component."""
     spark = docs.sparkSession
     facts = written(measured(docs, text, doc_id), "join-facts")
@@ -424,7 +442,7 @@ def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         return written(components(edges, "join-clusters").withColumnRenamed("node", "cls")
                        .withColumnRenamed("root", "cluster"), "join-clusters")
 
-    clusters = clustered(refined(indexed, clustered(block_edges(indexed)), part_shingles))
+    clusters = clustered(refined(indexed, clustered(block_edges(indexed)), part_prefix))
     # one document brings the set of its class
     holders = members.groupBy("cls").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("holder"),
                                          F.first("n_shingles").alias("n"))
@@ -435,9 +453,9 @@ def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
-            part_shingles: int = PART_SHINGLES) -> DataFrame:
+            part_shingles: int = PART_SHINGLES, part_prefix: int = PART_PREFIX) -> DataFrame:
     """(doc_id, n_shingles, cls, component_id) of every document."""
-    members, links = linked(docs, text, doc_id, part_shingles)
+    members, links = linked(docs, text, doc_id, part_shingles, part_prefix)
     roots = components(links, "join-links").withColumnRenamed("node", "cls")
     classes = members.where("n_shingles > 0").groupBy("cls").agg(
         F.min("doc_id").alias("least"), F.count("*").alias("n"))
