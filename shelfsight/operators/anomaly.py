@@ -113,12 +113,12 @@ def _path_lengths(tree: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def isolation_forest(monthly: DataFrame, trees: int = 200, contamination: float = 0.02,
-                     max_rows: int | None = 60_000, seed: int = 42, subsample: int = 256,
+                     max_rows: int | None = None, seed: int = 42, subsample: int = 256,
                      features: list[str] = ANOMALY_FEATURES, keys: list[str] = GRAIN) -> DataFrame:
     """Rows with ``anomaly_score`` (below 0 is anomalous) and ``is_anomaly`` (-1 or 1).
 
-    ``max_rows`` bounds the rows the forest sees, as a reproducible sample; None
-    uses the whole table, for growing and for scoring.
+    Trees grow from, and scores cover, the whole table. A given ``max_rows`` asks for
+    a reproducible sample of that size instead.
     """
     features = present(monthly, features)
     pool = monthly if max_rows is None else sample_exact(monthly, max_rows, keys, seed)
@@ -136,6 +136,7 @@ def isolation_forest(monthly: DataFrame, trees: int = 200, contamination: float
             .drop("score"))
 
 
-def top_anomalies(scored: DataFrame, k: int = 3000, keys: list[str] = GRAIN) -> DataFrame:
-    """The k most isolated rows among the anomalous ones."""
-    return scored.where("is_anomaly = -1").orderBy("anomaly_score", *keys).limit(k)
+def top_anomalies(scored: DataFrame, k: int | None = None, keys: list[str] = GRAIN) -> DataFrame:
+    """The anomalous rows, most isolated first; only the first ``k`` if asked for."""
+    found = scored.where("is_anomaly = -1").orderBy("anomaly_score", *keys)
+    return found if k is None else found.limit(k)

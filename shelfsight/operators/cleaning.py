@@ -50,9 +50,9 @@ def coerce_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def fill_numeric(df: DataFrame, defaults: dict[str, float | int]) -> DataFrame:
-    """Replace nulls by a default. An int default also makes the column an int, cut toward zero."""
+    """Replace nulls by a default. An int default also makes the column a bigint, cut toward zero."""
     return df.withColumns({
-        c: F.coalesce(F.col(c).cast("int"), F.lit(v)) if isinstance(v, int)
+        c: F.coalesce(F.col(c).try_cast("bigint"), F.lit(v).cast("bigint")) if isinstance(v, int)
         else F.coalesce(F.col(c).cast("double"), F.lit(v))
         for c, v in defaults.items() if c in df.columns})
 

@@ -51,11 +51,10 @@ def stratified_split(df: DataFrame, stratum: str, keys: list[str], strata: list[
     """Adds ``is_test``: one part in ``parts`` of each stratum, rounded up.
 
     ``strata`` lists the known values, which bounds the broadcast limits to one
-    row each; rows of other strata are dropped.
+    row each; rows of other strata stay, with a null ``is_test``.
     """
     order = hash_order(keys, seed)
-    df = df.where(F.col(stratum).isin(strata))
-    limits = _hash_limits(df, F.col(stratum), order,
+    limits = _hash_limits(df.where(F.col(stratum).isin(strata)), F.col(stratum), order,
                           lambda n: F.floor((n + F.lit(parts - 1)) / F.lit(parts)))
     return (df.join(F.broadcast(limits.withColumnRenamed("stratum", stratum)), stratum, "left")
             .withColumn("is_test", order <= F.col("hash_limit"))

@@ -30,7 +30,8 @@ QUERIES: dict[str, Query] = {}
 GRAIN = M.GRAIN
 DUMMY_COLUMNS = ["shop_region", "store_type", "item_category_name"]
 SCALED_COLUMNS = ["qty", "avg_price", "revenue", "avg_on_hand", "qty_roll_3", "store_size_sqft"]
-TREES = 50  # forests of the registered queries; the library default is 220
+TREES = 220  # forests of the registered queries
+DEPTH = 10  # Spark keeps trees on the driver: 2 ** depth nodes each bound them, whatever the rows
 
 
 def tidy(df: DataFrame, digits: int | None = None) -> DataFrame:
@@ -497,7 +498,7 @@ def _prepared(app_id: str, spark: SparkSession, sf_dir: str) -> L.Prepared:
 
 @lru_cache(maxsize=16)
 def _fitted(app_id: str, spark: SparkSession, sf_dir: str, name: str):
-    return L.fit_models(_prepared(app_id, spark, sf_dir), [name], trees=TREES)[name]
+    return L.fit_models(_prepared(app_id, spark, sf_dir), [name], trees=TREES, depth=DEPTH)[name]
 
 
 def _models(spark: SparkSession, sf_dir: str):
@@ -531,7 +532,7 @@ def forecast_next(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sales_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, scored = L.classify(P.monthly_features(retail_tables(spark, sf_dir)), trees=TREES)
+    _, scored = L.classify(P.monthly_features(retail_tables(spark, sf_dir)), trees=TREES, depth=DEPTH)
     return tidy(R.confusion_matrix(scored, "sales_class", "predicted_class"))
 
 

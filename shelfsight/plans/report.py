@@ -16,8 +16,8 @@ from . import features as P
 from . import forecasting as M
 
 
-def write_reports(raw: dict[str, DataFrame], out: str, top_series: int | None = 5, **model_params) -> None:
-    """The whole analysis. ``top_series=None`` back-tests every series instead of the largest ones."""
+def write_reports(raw: dict[str, DataFrame], out: str, top_series: int | None = None, **model_params) -> None:
+    """The whole analysis. Every series is back-tested unless ``top_series`` asks for the largest ones only."""
     t = P.valid_tables(raw)
     features = stage(P.monthly_from(t), "features")
     write_csv(features, f"{out}/monthly_features")
@@ -59,5 +59,5 @@ def write_reports(raw: dict[str, DataFrame], out: str, top_series: int | None =
               f"{out}/classification_report")
 
     anomalies = top_anomalies(isolation_forest(features))
-    write_csv(features.join(F.broadcast(anomalies.select(*GRAIN, "anomaly_score", "is_anomaly")), GRAIN)
-              .orderBy("anomaly_score", *GRAIN), f"{out}/anomalies_top3000")
+    write_csv(features.join(anomalies.select(*GRAIN, "anomaly_score", "is_anomaly"), GRAIN)
+              .orderBy("anomaly_score", *GRAIN), f"{out}/anomalies")

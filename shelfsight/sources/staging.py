@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only in local mode without a setting."""
+    """The shared folder the cluster names; a session that names none uses one below its warehouse."""
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="shelfsight-")
-        context.setCheckpointDir(root)
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staging"
     return root.rstrip("/")
 
 

@@ -34,10 +34,11 @@ def test_nan_becomes_null(spark):
 
 
 def test_defaults_and_int_flags(spark):
-    df = spark.createDataFrame([(None, None, 2.7), (1.0, 3.0, None)], "flag double, rate double, n double")
+    rows = [(None, None, 2.7), (1.0, 3.0, None), (2.0 ** 40, 1.0, math.inf)]
+    df = spark.createDataFrame(rows, "flag double, rate double, n double")
     out = C.fill_numeric(df, {"flag": 0, "rate": 1.0, "n": 0, "absent": 0})
-    assert [tuple(r) for r in out.collect()] == [(0, 1.0, 2), (1, 3.0, 0)]
-    assert dict(out.dtypes)["flag"] == "int"
+    assert [tuple(r) for r in out.collect()] == [(0, 1.0, 2), (1, 3.0, 0), (2 ** 40, 1.0, 0)]
+    assert dict(out.dtypes)["flag"] == "bigint"
 
 
 def test_unknown_labels(spark):

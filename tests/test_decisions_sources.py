@@ -85,7 +85,7 @@ def test_all_reports_from_csv(spark, raw, tmp_path):
                  "model_comparison_seasonal_top_series", "model_comparison_total_series",
                  "forecast_next_month_shop_item", "forecast_next_month_items", "forecast_items_month_and_year",
                  "profit_ranking_shops", "whatif_price_increase", "inventory_reorder_plan_next_month",
-                 "classification_confusion_matrix", "classification_report", "anomalies_top3000"]:
+                 "classification_confusion_matrix", "classification_report", "anomalies"]:
         assert spark.read.option("header", True).csv(f"{out}/{name}").count() > 0, name
     assert set(spark.read.option("header", True).csv(f"{out}/profit_ranking_shops").columns) == {
         "shop_id", "total_revenue", "total_cost", "total_profit", "total_qty",
