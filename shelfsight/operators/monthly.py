@@ -12,21 +12,26 @@ from .cleaning import known, present
 GRAIN = ["year_month", "shop_id", "item_id"]
 SERIES = ["shop_id", "item_id"]
 ITEM_ATTRIBUTES = ["item_category_id", "brand", "tier", "mrp_inr", "unit_cost_inr", "is_perishable"]
+EXACT = "decimal(28,10)"  # of a summand; the sum has ten more digits, and a larger value is an error
 SHOP_ATTRIBUTES = ["shop_city", "shop_state", "shop_region", "store_type", "store_size_sqft"]
 
 
-def total(c: str | Column, decimals: int = 4) -> Column:
-    """A sum that is 0 for an all-null group.
+def exact(c: str | Column) -> Column:
+    """A number as a decimal; NaN and infinite values have none and become null."""
+    return (F.col(c) if isinstance(c, str) else c).cast(EXACT)
 
-    Amounts lie on a grid of ``decimals`` places, so rounding the sum removes
-    the noise of the summation order and the result is the same on any cluster.
+
+def total(c: str | Column) -> Column:
+    """The sum, 0 for an all-null group.
+
+    Summed in decimals, so neither the order of rows nor their partitioning shows in the result.
     """
-    return F.round(F.coalesce(F.sum(c).cast("double"), F.lit(0.0)), decimals)
+    return F.coalesce(F.sum(exact(c)).cast("double"), F.lit(0.0))
 
 
-def mean(c: str) -> Column:
-    """Mean over the non-null values, from an order-independent sum."""
-    return F.try_divide(total(c), F.count(c))
+def mean(c: str | Column) -> Column:
+    """Mean over the non-null values: an exact sum, divided once."""
+    return F.try_divide(F.sum(exact(c)).cast("double"), F.count(exact(c)))
 
 
 def count_sum(c: str) -> Column:

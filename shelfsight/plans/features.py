@@ -9,12 +9,15 @@ from ..operators import cleaning as C
 from ..operators import integrity as I
 from ..operators import monthly as M
 from ..sources.readers import typed
+from ..sources.staging import stage
 
 Tables = dict[str, DataFrame]
 
 SALES_NUMBERS = ["item_mrp_inr", "item_price_inr", "discount_pct", "item_cnt_day", "revenue_inr"]
 CALENDAR_FLAGS = ["is_weekend", "is_national_holiday", "is_festive_season", "is_summer", "is_monsoon"]
 INVENTORY_NUMBERS = ["on_hand_qty", "reorder_point_qty", "supplier_lead_time_days"]
+FACT_KEYS = ["date", "shop_id", "item_id"]
+FACT_FLAGS = ["is_promo", "stockout_flag"]
 ITEM_LABELS = ["brand", "tier", "pack_size_uom", "item_name"]
 SHOP_LABELS = ["shop_city", "shop_state", "shop_region", "store_type", "shop_name"]
 
@@ -75,8 +78,13 @@ def valid_tables(raw: Tables) -> Tables:
 
 
 def trusted_sales(valid_sales: DataFrame) -> DataFrame:
-    """Capped, plausible sales with their month."""
-    return M.derive_calendar_keys(C.sanity_filter(C.cap_outliers(valid_sales)))
+    """Capped, plausible sales with their month.
+
+    The columns that the monthly facts need are written once: the caps pass over them twice and the caller
+    once more, and none of these passes parses dates or checks keys again.
+    """
+    once = stage(C.column_subset(valid_sales, [*FACT_KEYS, *C.OUTLIER_COLUMNS, *FACT_FLAGS]), "valid-sales")
+    return M.derive_calendar_keys(C.sanity_filter(C.cap_outliers(once)))
 
 
 def calendar_months(t: Tables) -> DataFrame:

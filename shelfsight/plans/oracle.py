@@ -23,12 +23,13 @@ def rnd(expr: str, name: str, digits: int = 6) -> str:
     return f"case when {r} = 0 then 0.0::double else {r} end as {name}"
 
 
-def total(expr: str, digits: int = 4) -> str:
-    return f"round(coalesce(sum({expr})::double, 0), {digits})"
+def total(expr: str, scale: int = 4) -> str:
+    """An exact sum; the tables' amounts have at most ``scale`` decimals."""
+    return f"coalesce(sum(cast({expr} as decimal(38,{scale})))::double, 0)"
 
 
 def mean(expr: str) -> str:
-    return f"{total(expr)} / nullif(count({expr}), 0)"
+    return f"sum(cast({expr} as decimal(38,4)))::double / nullif(count({expr}), 0)"
 
 
 def big(expr: str, name: str) -> str:
@@ -515,15 +516,16 @@ FINALS: dict[str, str] = {
     "profit_columns": f"select {GRAIN}, {_rounded(['revenue', 'cost_est', 'profit_est'])} from profits",
     "shop_profit": f"""
         select t.*, shop_city, shop_state, shop_region
-        from (select shop_id, {total('revenue')} as total_revenue, {total('cost_est')} as total_cost,
-                {total('profit_est')} as total_profit, {total('qty')} as total_qty from profits group by 1) t
+        from (select shop_id, {rnd(total('revenue'), 'total_revenue', 4)}, {rnd(total('cost_est', 8), 'total_cost', 4)},
+                {rnd(total('profit_est', 8), 'total_profit', 4)}, {rnd(total('qty'), 'total_qty', 4)}
+              from profits group by 1) t
           left join c_shops using (shop_id)""",
     "describe_forecast": f"""
         select * replace ({rnd('pred_qty_next_month', 'pred_qty_next_month')}) from described""",
     "forecast_items": f"""
         select item_id, {rnd('p', 'pred_qty_next_month')}, item_name, item_category_id,
           {rnd('p * 12', 'pred_qty_next_year')}
-        from (select item_id, {total('pred_qty_next_month', 6)} as p from forecast group by 1)
+        from (select item_id, {total('pred_qty_next_month', 10)} as p from forecast group by 1)
           left join v_items using (item_id)""",
     "whatif_price": f"""
         select {SERIES}, {rnd('pred_qty_next_month', 'pred_qty_next_month')}, 0.1::double as whatif_price_up_pct,

@@ -3,6 +3,7 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from shelfsight.operators import monthly as M
 
@@ -112,3 +113,15 @@ def test_monthly_totals_match_pandas(raw, monthly):
     got = monthly.select("shop_id", "item_id", "year_month", "qty").toPandas().set_index(
         ["shop_id", "item_id", "year_month"])["qty"]
     assert len(got) > 4000 and np.allclose(want.loc[got.index], got)
+
+
+def test_sums_keep_every_digit(spark):
+    df = spark.createDataFrame([(1, 0.00004)] * 3 + [(2, None)], "k int, v double")
+    got = {r["k"]: (r["s"], r["m"]) for r in df.groupBy("k").agg(M.total("v").alias("s"), M.mean("v").alias("m")).collect()}
+    assert got == {1: (0.00012, 4e-5), 2: (0.0, None)}
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_sums_do_not_depend_on_partitions(spark, parts):
+    df = spark.range(0, 400, 1, parts).select(F.lit(12345678901.1234).alias("v"))
+    assert df.agg(M.total("v")).first()[0] == 4938271560449.36
