@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -541,7 +541,64 @@ def anomalies(m):
     return top_anomalies(isolation_forest(m))
 
 
+# --- contracts of the fitted models ------------------------------------------
+# What any right fit satisfies and SQL can state: rows, keys, attributes and ranges. They say nothing of accuracy.
+
+def regressors_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per model: validation rows and series, the total of the truth, predictions that are no number and, for the
+    forest, whose leaves are means, predictions outside the range of the training rows."""
+    prepared, models = _models(spark, sf_dir)
+    low, high = prepared.train.agg(F.min(R.TARGET), F.max(R.TARGET)).first()
+    p = F.col("prediction")
+
+    def checked(name: str) -> DataFrame:
+        outside = (p < low - 1e-6) | (p > high + 1e-6) if name == "RandomForestRegressor" else F.lit(False)
+        return models[name].transform(prepared.validation).agg(
+            F.count("*").alias("n_rows"), F.count_distinct(*M.SERIES).alias("n_series"),
+            M.total(R.TARGET).alias("actual_total"), F.count_if(p.isNull() | F.isnan(p)).alias("n_missing"),
+            F.count_if(outside).alias("n_outside")).withColumn("Model", F.lit(name))
+
+    return tidy(reduce(DataFrame.unionByName, map(checked, models)), 6)
+
+
+def linear_regression_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training rows and the mean residual, which is 0 for least squares with an intercept."""
+    app = spark.sparkContext.applicationId
+    train = _prepared(app, spark, sf_dir).train
+    scored = _fitted(app, spark, sf_dir, "LinearRegression").transform(train)
+    residual = F.col(R.TARGET) - F.col("prediction")
+    return tidy(scored.agg(F.count("*").alias("n_train"), F.avg(residual).alias("mean_residual")), 4)
+
+
+def forecast_next_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forecast rows with their attributes, and whether the prediction is a number of at least 0."""
+    p = F.col(D.PREDICTED)
+    out = forecast_next(spark, sf_dir)
+    return tidy(out.withColumn("valid", F.coalesce((p >= 0) & ~F.isnan(p), F.lit(False))).drop(D.PREDICTED))
+
+
+def sales_classifier_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test rows per true class."""
+    support = reduce(lambda a, b: a + b, [F.col(c) for c in R.CLASSES])
+    return tidy(sales_classifier(spark, sf_dir).select(F.col("actual").alias("sales_class"), support.alias("support")))
+
+
+@monthly_query()
+def isolation_forest_contract(m):
+    """Rows scored, and whether the rows flagged are some, and at most the share asked for."""
+    counts = isolation_forest(m).agg(F.count("*").alias("n_scored"), F.count_if(F.col("is_anomaly") == -1).alias("n"))
+    return counts.select("n_scored", F.col("n").between(1, F.ceil(F.col("n_scored") * 0.02)).alias("share_ok"))
+
+
+@monthly_query()
+def seasonal_regression_contract(m):
+    """Training rows of every series with a back-test."""
+    return S.seasonal_regression_backtest(m).select(*M.SERIES, "n_train")
+
+
 QUERIES.update(model_comparison=model_comparison, forecast_next=forecast_next,
-               sales_classifier=sales_classifier)
+               sales_classifier=sales_classifier, regressors_contract=regressors_contract,
+               linear_regression_contract=linear_regression_contract,
+               forecast_next_contract=forecast_next_contract, sales_classifier_contract=sales_classifier_contract)
 QUERIES["isolation_forest"] = QUERIES.pop("anomalies")
 QUERIES["table_profile"] = QUERIES.pop("table_profiles")

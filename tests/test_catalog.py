@@ -9,7 +9,7 @@ from conftest import SF_DIR
 # Every query is compared by the driver; these cover each family here.
 COMPARED = ["table_profile", "csv_round_trip", "fk_check", "fill_numeric_defaults", "monthly_features",
             "promo_month", "correlation_matrix", "quantiles", "stratified_split", "arima_backtest",
-            "inventory_plan"]
+            "inventory_plan", "shop_profit", "isolation_forest_contract", "seasonal_regression_contract"]
 
 
 @pytest.fixture(scope="module")
