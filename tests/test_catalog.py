@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF_DIR
+from shelfsight.plans import catalog, oracle
 
 # Every query is compared by the driver; these cover each family here.
 COMPARED = ["table_profile", "csv_round_trip", "fk_check", "fill_numeric_defaults", "monthly_features",
@@ -33,9 +34,8 @@ def test_query_matches_sql(spark, sql, name):
 
 
 def test_every_oracle_has_a_query():
-    queries, sql = entry.queries(), entry.oracle_sql()
-    assert set(sql) <= set(queries)
-    assert set(queries) - set(sql) == {
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(catalog.QUERIES) - set(oracle.oracle_sql()) == {
         "seasonal_regression_backtest", "sequence_regression", "sequence_regression_total", "linear_regression",
         "random_forest_reg", "gradient_boosting", "model_comparison", "forecast_next", "sales_classifier",
         "isolation_forest"}
