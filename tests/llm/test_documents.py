@@ -120,6 +120,29 @@ def test_quality_counts_and_verdicts(spark):
     assert quality.scored(docs.drop("n_words").limit(0)).count() == 0
 
 
+def test_quality_fences_differ_between_groups(spark):
+    def marked(words, n):
+        return " ".join(w + "###" * (k < n) for k, w in enumerate(words.split()))
+
+    def quoting(n):
+        words = prose(200).split()
+        for k in range(n):
+            words[100 + 4 * k:103 + 4 * k] = words[4 * k:4 * k + 3]
+        return " ".join(words)
+
+    def shouted(n):
+        return " ".join(w.upper() if k < n else w for k, w in enumerate(prose(200).split()))
+
+    rows = [("plain", prose(200)) for _ in range(300)] + [("spam", prose(200)) for _ in range(60)]
+    rows += [("spam", marked(prose(200), 100)) for _ in range(40)]  # over a quarter of its source, a tenth of all
+    rows += [("headings", shouted(RNG.randrange(0, 41))) for _ in range(100)]
+    rows += [("plain", shouted(90)), ("headings", shouted(90)), ("plain", marked(prose(200), 15))]
+    rows += [("plain", quoting(20)), ("plain", quoting(1))]
+    docs = spark.createDataFrame([(i, t, "en", s, None, "clash", 1) for i, (s, t) in enumerate(rows)], SCHEMA)
+    kept = {r["doc_id"] for r in quality.scored(docs.drop("n_words"), group_rows=20).where("kept").collect()}
+    assert kept == {i for i in range(len(rows)) if not 360 <= i < 400} - {500, 502, 503}
+
+
 def lines_by_brute_force(texts, sites, least):
     strip = " \t\n\r\v\f"
     spread, keeper = {}, {}
