@@ -276,6 +276,38 @@ def test_shared_passages_are_found(spark):
     assert passages.shared(docs.limit(0)).count() == 0
 
 
+def test_partial_quotes_in_earlier_documents_hide_no_passage(spark):
+    passage = prose(60).split()
+    texts = [prose(40) + " " + " ".join(passage[max(0, 20 * k - 10):20 * k + 30]) + " " + prose(40) for k in range(3)]
+    texts += [prose(30) + " " + " ".join(passage) + " " + prose(30) for _ in range(2)]
+    again = prose(80)  # its middle stands earlier in the other document
+    texts += [" ".join(again.split()[20:50]) + " " + prose(60) + " " + again, prose(25) + " " + again]
+    docs = table(spark, list(enumerate(texts)))
+    got = {(r["doc_id"], r["other_id"]): r for r in passages.shared(docs).collect()}
+    assert set(got) == {(4, 3), (6, 5)}
+    r = got[(4, 3)]
+    assert (r["start"], r["stop"], r["other_start"], r["other_stop"], r["likeness"]) == (30, 90, 30, 90, 1.0)
+    r = got[(6, 5)]
+    assert (r["start"], r["stop"], r["other_start"], r["other_stop"], r["likeness"]) == (25, 105, 90, 170, 1.0)
+
+
+def test_links_go_to_the_first_and_the_previous_holder(spark):
+    rows = sorted({(RNG.randrange(4) if k % 2 else 0, RNG.randrange(60), RNG.randrange(30)) for k in range(400)})
+    nth, seen = [], {}
+    for s, d, _ in rows:
+        nth.append(seen.get((s, d), 0))
+        seen[s, d] = nth[-1] + 1
+    found = spark.createDataFrame([(*r, n) for r, n in zip(rows, nth)], "seed bigint, doc bigint, place int, nth int")
+    wanted = set()
+    for s, d, x in rows:
+        others = sorted({e for t, e, _ in rows if t == s and e < d})
+        for e in {others[0], others[-1]} if others else ():
+            places = sorted(y for t, f, y in rows if t == s and f == e)[:passages.PLACES]
+            wanted |= {(d, e, x, y) for y in places}
+    got = [tuple(r) for r in passages.matches(found.repartition(4)).collect()]
+    assert set(got) == wanted
+
+
 def test_chains_rise_on_both_sides():
     for _ in range(30):
         n = RNG.randrange(1, 30)
