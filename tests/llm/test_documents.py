@@ -291,6 +291,20 @@ def test_partial_quotes_in_earlier_documents_hide_no_passage(spark):
     assert (r["start"], r["stop"], r["other_start"], r["other_stop"], r["likeness"]) == (25, 105, 90, 170, 1.0)
 
 
+def test_passages_around_a_differing_stretch_are_found(spark):
+    one, two, three = prose(100), prose(60), prose(100)
+    texts = [one + " " + two, prose(20) + " " + one + " " + prose(60) + " " + two,
+             one + " " + prose(100) + " " + three, one + " " + prose(100) + " " + three + " " + prose(9)]
+    pairs = [(0, 1), (2, 3)]
+    for k, pair in enumerate(pairs):
+        docs = table(spark, [(i, texts[i]) for i in pair])
+        got = sorted((r["start"], r["stop"], r["other_start"], r["other_stop"]) for r in passages.shared(docs).collect())
+        wanted = [[(20, 120, 0, 100), (180, 240, 100, 160)], [(0, 100, 0, 100), (200, 300, 200, 300)]][k]
+        assert len(got) == 2
+        for g, w in zip(got, wanted):
+            assert all(abs(x - y) <= 2 for x, y in zip(g, w))
+
+
 def test_links_go_to_the_first_and_the_previous_holder(spark):
     rows = sorted({(RNG.randrange(4) if k % 2 else 0, RNG.randrange(60), RNG.randrange(30)) for k in range(400)})
     nth, seen = [], {}
