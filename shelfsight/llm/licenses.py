@@ -1,9 +1,9 @@
 """Licence scans: normalised text against licence templates, by the Dice coefficient over word bigrams.
 
-Text is lower-cased and reduced to words of letters, digits and inner dots. A template of w words is compared
-with windows of w words; with equal sizes the coefficient is shared bigrams / (w - 1), counted as multisets.
-Size bounds prune: a text with too few bigrams for the threshold skips the template, and so does one with fewer
-hits of the template's bigrams than a match must have. Of overlapping matches the better one stays, then the
+Text is lower-cased and reduced to words of letters, digits and inner dots. A template of t bigrams is compared
+with windows of every size w that can reach the threshold d, from t d / (2 - d) to t (2 - d) / d; the coefficient is
+2 x shared bigrams / (w + t), counted as multisets. A text skips the template if it has fewer bigrams, or fewer of
+the template's, than the smallest match must have. Of overlapping matches the better one stays, then the
 earlier, then the longer template.
 
 Defined results: a null, empty or one-word text matches nothing; repeated rows stay rows; a template with fewer
@@ -64,26 +64,30 @@ class Template:
         self.keys = np.unique(grams)
 
 
-def best_windows(grams: np.ndarray, template: Template, threshold: float) -> list[tuple[float, int]]:
-    """(coefficient, first word) of every window that reaches the threshold."""
-    width = template.size - 1
-    least = int(np.ceil(threshold * width - 1e-9))
+def best_windows(grams: np.ndarray, template: Template, threshold: float) -> list[tuple[float, int, int]]:
+    """(coefficient, first bigram, end) of every window that reaches the threshold, of any size.
+
+    A window that begins or ends with a bigram the template lacks is worse than the one without it.
+    """
+    size = template.size - 1
+    shortest, longest = size * threshold / (2 - threshold), size * (2 - threshold) / threshold
+    least = int(np.ceil(threshold / 2 * (shortest + size) - 1e-9))  # shared bigrams of the shortest window
     if len(grams) < least:
         return []  # too small a text
-    hit = np.isin(grams, template.keys)
-    if int(hit.sum()) < least:
+    places = np.flatnonzero(np.isin(grams, template.keys))
+    if len(places) < least:
         return []  # too few shared bigrams
-    places = np.flatnonzero(hit)
+    stops = np.searchsorted(places, places + int(longest + 1e-9))
     out = []
-    width = min(width, len(grams))
-    starts = np.unique(np.clip(places[:, None] - np.arange(width), 0, len(grams) - width))
-    total = np.cumsum(np.append(0, hit))
-    for s in starts[total[starts + width] - total[starts] >= least].tolist():
-        own = Counter(grams[s:s + width].tolist())
-        shared = sum(min(n, template.grams.get(g, 0)) for g, n in own.items())
-        dice = 2 * shared / (width + template.size - 1)
-        if dice >= threshold:
-            out.append((dice, s))
+    for i in np.flatnonzero(stops - np.arange(len(places)) >= least).tolist():
+        own, shared, first = Counter(), 0, int(places[i])
+        for place in places[i:stops[i]].tolist():
+            g = int(grams[place])
+            own[g] += 1
+            shared += own[g] <= template.grams[g]
+            dice = 2 * shared / (place + 1 - first + size)
+            if dice >= threshold - 1e-12:
+                out.append((dice, first, place + 1))
     return out
 
 
@@ -96,8 +100,8 @@ def scan_text(text: str, templates: list[Template], cache: WordHashes, threshold
     if len(spans) < 2:
         return []
     grams = windows(cache.of([lowered[a:b].encode() for a, b in spans]), 2)
-    found = [(-dice, s, -t.size, t.name, min(s + t.size, len(spans)))
-             for t in templates for dice, s in best_windows(grams, t, threshold)]
+    found = [(-dice, s, -t.size, t.name, stop + 1)
+             for t in templates for dice, s, stop in best_windows(grams, t, threshold)]
     taken, out = np.zeros(len(spans), bool), []
     for dice, s, _, name, stop in sorted(found):
         if not taken[s:stop].any():
