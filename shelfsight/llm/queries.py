@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, licenses, line_dedup, ngram_join, passages, quality, secrets, subwords, warc
+from . import (
+    decontamination, html_text, infill, licenses, line_dedup, ngram_join, passages, quality, secrets, subwords, warc)
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"  # a public vocabulary; any SentencePiece model of merges will do
 
@@ -105,3 +106,30 @@ def op9_secret_scan(spark, sf_dir):
 @query
 def op10_benchmark_decontamination(spark, sf_dir):
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_fill_in_middle(spark, sf_dir):
+    return infill.report(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op12_fill_in_middle"] = r"""
+with d as (
+  select doc_id, coalesce(text, '') as text, sha256('7:' || coalesce(cast(doc_id as varchar), '')) as h,
+         regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as units from documents),
+c as (
+  select *, len(units) as n, cast('0x' || h[1:8] as bigint) % (len(units) + 1) as r1,
+         cast('0x' || h[9:16] as bigint) % (len(units) + 1) as r2, cast('0x' || h[25:32] as bigint) % 100 < 50 as spm,
+         text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') as plain from d),
+p as (
+  select *, array_to_string(units[1:least(r1, r2)], '') as prefix,
+         array_to_string(units[least(r1, r2) + 1:greatest(r1, r2)], '') as middle,
+         array_to_string(units[greatest(r1, r2) + 1:], '') as suffix from c)
+select doc_id, n, case when plain then 'plain' when spm then 'spm' else 'psm' end as form,
+       case when not plain then length(prefix) end as prefix_chars,
+       case when not plain then length(middle) end as middle_chars,
+       sha256(case when plain then text when spm then '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+                   else '<P>' || prefix || '<S>' || suffix || '<M>' || middle end) as output_sha256,
+       sha256(text) as restored_sha256
+from p
+"""

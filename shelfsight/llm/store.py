@@ -11,9 +11,11 @@ SMALL_ROWS = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only a session that names none (a test) gets one, below its warehouse."""
+    """``spark.checkpoint.dir``; only a local session that names none (a test) gets one, below its warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     return root.rstrip("/")
 
@@ -55,5 +57,16 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def without(df: DataFrame, names: list[str], keep: list[str] = ()) -> DataFrame:
+    """``df`` without the columns called like one of ``names``, which new columns are about to replace.
+
+    Names differ in more than case; a column of ``keep`` that would go raises, for the operator reads it.
+    """
+    gone = {n.lower() for n in names}
+    if clash := [c for c in keep if c.lower() in gone]:
+        raise ValueError(f"{clash} name both an input and an output column")
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
+
+
 def fields(schema: str) -> list[tuple[str, str]]:
     return [tuple(x.strip().split(" ", 1)) for x in schema.split(",") if x.strip()]
