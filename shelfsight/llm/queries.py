@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    decontamination, html_text, infill, licenses, line_dedup, ngram_join, passages, quality, secrets, subwords, warc)
+    block_search, decontamination, html_text, infill, lexical, licenses, line_dedup, ngram_join, passages, quality,
+    secrets, subwords, warc)
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"  # a public vocabulary; any SentencePiece model of merges will do
 
@@ -108,6 +109,28 @@ def op10_benchmark_decontamination(spark, sf_dir):
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op11_exact_top_k(spark, sf_dir):
+    found = block_search.top_k(table(spark, sf_dir, "embeddings"), every=20, k=20)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+ORACLE_SQL["op11_exact_top_k"] = """
+with v as (
+  select vec_id, [cast(floor(64 * cast(x as double)) as bigint) for x in embedding] as q from embeddings
+  where vec_id is not null and embedding is not null
+    and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+c as (
+  select vec_id, unnest(q) as x, generate_subscripts(q, 1) as i from v),
+s as (
+  select a.vec_id as query_id, b.vec_id, cast(sum(a.x * b.x) as bigint) as score
+  from c a join c b on a.i = b.i and a.vec_id <> b.vec_id where a.vec_id % 20 = 0 group by a.vec_id, b.vec_id),
+r as (
+  select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 20
+"""
+
+
 @query
 def op12_fill_in_middle(spark, sf_dir):
     return infill.report(table(spark, sf_dir, "documents"))
@@ -133,3 +156,32 @@ select doc_id, n, case when plain then 'plain' when spm then 'spm' else 'psm' en
        sha256(text) as restored_sha256
 from p
 """
+
+
+@query
+def op13_ranked_search(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+ORACLE_SQL["op13_ranked_search"] = r"""
+with words as (
+  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+lengths as (select doc_id, count(*) as n from words group by doc_id),
+total as (select count(*) as docs, sum(n)::bigint as terms from lengths),
+tf as (select doc_id, term, count(*) as tf from words group by doc_id, term),
+df as (select term, count(*) as df from tf group by term),
+asked as (
+  select item_id, term, count(*) as repeats from (
+    select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark)
+  group by item_id, term),
+scored as (
+  select item_id, tf.doc_id, sum(repeats * cast(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) as bigint)
+         * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))))::bigint as score
+  from asked join tf using (term) join df using (term) join lengths using (doc_id), total group by item_id, tf.doc_id),
+ranked as (
+  select *, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank
+  from scored where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 10
+"""
