@@ -27,12 +27,17 @@ def check_sizes(*tables: DataFrame) -> None:
         _checked[unknown[row["i"]]] = row["n"] <= BROADCAST_ROWS
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether ``df`` has at most BROADCAST_ROWS rows; counted once per DataFrame object."""
+    check_sizes(df)
+    return _checked[df]
+
+
 def small_side(df: DataFrame, columns: list[str]) -> DataFrame:
     """The wanted columns, with a broadcast hint when the table is small.
 
     A larger table is returned without: the join then shuffles, and AQE splits
     hot partitions.
     """
-    check_sizes(df)
     side = df.select(*columns)
-    return F.broadcast(side) if _checked[df] else side
+    return F.broadcast(side) if is_small(df) else side

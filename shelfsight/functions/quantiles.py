@@ -1,122 +1,128 @@
-"""Exact linear-interpolated quantiles that never gather a whole column in one task.
-
-``percentile`` keeps every distinct value of a column in one buffer. Here a
-fixed-size sketch first brackets each wanted rank. A second pass places every
-row below, inside or above each bracket and counts rows by place; a value
-inside is its own place, so a hot value is one row and few rows leave a
-partition. A running total then locates the rank in two levels: over at most
-SLICES slices of the bracket, then inside the one or two slices that hold it.
-A rank outside its bracket is an error, never a wrong answer.
-
-Like ``DataFrame.approxQuantile`` this is an action: what reaches the driver is
-two numbers per wanted quantile.
+"""Exact linear-interpolated quantiles by radix selection, per column and per group.
+
+``percentile`` keeps every distinct value of a column in one buffer. Here each double becomes a 64-bit key in
+the order of the values, and the key of a wanted rank is found digit by digit: a pass counts the rows of the
+bucket that holds the rank by their next 16 bits. Counts are summed on the map side first, so a hot value or a
+hot group is one row per task, and no pass orders more than 65,536 digits per bucket, whatever the data size.
+Four passes give all 64 bits; no rank can be missed.
+
+Nothing runs before the result is read, and nothing passes through the driver. The input is read once a pass,
+so callers hand in a narrow table that is cheap to read.
 """
 
 from __future__ import annotations
 
-import math
-from typing import NamedTuple
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SKETCH_ACCURACY = 10_000
-SLICES = 4096
-BELOW, ABOVE = float("-inf"), float("nan")
+from .joins import is_small
 
+DIGIT = 16
+LEVELS = 64 // DIGIT
+MANTISSA = 1 << 52
+LEAST_NORMAL = 2.0 ** -1022
+LEAST_SUBNORMAL = 2.0 ** -1074
 
-class _Probe(NamedTuple):
-    name: str
-    q: float
-    lo: float
-    hi: float
-    rank: float
 
-    def place(self) -> Column:
-        v = F.col(self.name)
-        return F.when(v < self.lo, F.lit(BELOW)).when(v > self.hi, F.lit(ABOVE)).otherwise(v)
+def with_order_key(df: DataFrame, value: str, key: str) -> DataFrame:
+    """Adds a bigint that orders like the double ``value``: the IEEE 754 bits of its magnitude, with its sign.
 
-    def slice_of(self, v: Column) -> Column:
-        inside = F.lit(0) if self.lo == self.hi else F.least(
-            F.lit(SLICES - 1), F.floor((v - self.lo) / (self.hi - self.lo) * SLICES))
-        return F.when(v < self.lo, F.lit(-1)).otherwise(inside).cast("int")
+    The exponent comes from a logarithm, put right by one where that rounds across a power of two. Dividing by a
+    power of two is exact, so the mantissa is too. Null and NaN have no key; both zeros have the same. Steps are
+    columns of their own, which keeps Catalyst from computing one several times.
+    """
+    x, size, guess, scaled, exponent = (F.col(c) for c in (value, "__size", "__guess", "__scaled", "__exponent"))
+    two = F.lit(2.0)
+    bits = (F.when(size == 0, F.lit(0).cast("bigint"))
+            .when(size < LEAST_NORMAL, (size / F.lit(LEAST_SUBNORMAL)).cast("bigint"))
+            .when(size == float("inf"), F.lit(2047 * MANTISSA))
+            .otherwise((exponent + 1023) * F.lit(MANTISSA) + ((scaled - 1) * float(MANTISSA)).cast("bigint")))
+    moved = F.when(scaled >= 2, F.lit(1)).when(scaled < 1, F.lit(-1)).otherwise(F.lit(0))
+    return (df.withColumn("__size", F.abs(F.nanvl(x, F.lit(None).cast("double"))))
+            .withColumn("__guess", F.floor(F.log2(size)))
+            .withColumn("__scaled", size / F.pow(two, guess))
+            .withColumn("__exponent", guess + moved)
+            .withColumn("__scaled", F.when(scaled >= 2, scaled / 2).when(scaled < 1, size / F.pow(two, exponent))
+                        .otherwise(scaled))
+            .withColumn(key, F.when(size.isNotNull(), F.when(x < 0, -bits).otherwise(bits)))
+            .drop("__size", "__guess", "__scaled", "__exponent"))
+
+
+def quantile_table(df: DataFrame, wanted: dict[str, list[float]], by: list[str] = (),
+                   decimals: int | None = None) -> DataFrame:
+    """(*by, name, q, value): quantiles of each column as pandas ``quantile`` gives, per group of ``by``.
+
+    A null group is a group. A column without values in a group has no row. Nulls and NaN are missing.
+    """
+    by = list(by)
+    pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("v")) for n in wanted])
+    known = df.select(*by, F.explode(pairs).alias("p")).where("not isnan(p.v)").select(*by, "p.name", "p.v")
+    # a key that cannot be null: else Catalyst repeats all of it in a filter below each join
+    data = with_order_key(known, "v", "key").withColumn("key", F.coalesce("key", F.lit(0)))
+    few = not by or is_small(df.select(*by).distinct())
+
+    asked = F.create_map(*[x for n, qs in wanted.items()
+                           for x in (F.lit(n), F.array(*[F.lit(float(q)) for q in qs]))])
+    group = Window.partitionBy(*by, "name")
+    first = (data.groupBy(*by, "name", F.shiftright("key", 64 - DIGIT).alias("prefix")).agg(F.count("*").alias("c"))
+             .withColumns({"n": F.sum("c").over(group),
+                           "upto": F.sum("c").over(group.orderBy("prefix").rowsBetween(
+                               Window.unboundedPreceding, Window.currentRow))})
+             .withColumn("q", F.explode(F.element_at(asked, F.col("name"))))
+             .withColumn("rank", (F.col("n") - 1) * F.col("q"))
+             .withColumn("ask", F.explode(F.array(*[
+                 F.struct("q", F.lit(side).alias("side"), (F.col("rank") - F.floor("rank")).alias("part"),
+                          end("rank").cast("bigint").alias("left")) for side, end in enumerate((F.floor, F.ceil))]))))
+    found = _holding(first, by)
+    for level in range(1, LEVELS):
+        asks = found.groupBy(*by, "name", "prefix").agg(F.sort_array(F.collect_list("ask")).alias("asks"))
+        found = _deeper(data, asks, by, 64 - DIGIT * (level + 1), few)
+    value = F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("part")
+    value = F.when(F.col("v0") == F.col("v1"), F.col("v0")).otherwise(value)
+    return (found.groupBy(*by, "name", "ask.q").agg(
+                F.max("ask.part").alias("part"),
+                *[F.max(F.when(F.col("ask.side") == side, F.col("v"))).alias(f"v{side}") for side in (0, 1)])
+            .select(*by, "name", "q", (value if decimals is None else F.round(value, decimals)).alias("value")))
+
+
+def _holding(counted: DataFrame, by: list[str]) -> DataFrame:
+    """The buckets that hold an asked rank, which then counts from the start of its bucket."""
+    ask, before = F.col("ask"), F.col("upto") - F.col("c")
+    return (counted.where((before <= ask["left"]) & (ask["left"] < F.col("upto")))
+            .withColumn("ask", F.struct(ask["q"].alias("q"), ask["side"].alias("side"), ask["part"].alias("part"),
+                                        (ask["left"] - before).alias("left"))))
+
+
+def _deeper(data: DataFrame, asks: DataFrame, by: list[str], shift: int, few: bool) -> DataFrame:
+    """One more digit: rows of the asked buckets, counted by it."""
+    # a few rows a group: two ranks for each quantile asked for
+    side = (F.broadcast(asks) if few else asks).alias("a")
+    same = [F.col(f"d.{b}").eqNullSafe(F.col(f"a.{b}")) for b in by]
+    inside = (data.alias("d").join(side, [
+        *same, F.col("d.name") == F.col("a.name"),
+        F.shiftright("d.key", shift + DIGIT) == F.col("a.prefix")])
+        .select("d.*", "a.asks", F.col("a.prefix").alias("above")))
+    counted = inside.groupBy(*by, "name", "above", "asks", F.shiftright("key", shift).alias("prefix")).agg(
+        F.count("*").alias("c"), F.max("v").alias("v"))  # of the last digit, all values of a bucket are equal
+    order = Window.partitionBy(*by, "name", "above").orderBy("prefix")
+    return _holding(counted.withColumn("upto", F.sum("c").over(
+        order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        .withColumn("ask", F.explode("asks")), by).drop("asks", "above")
 
 
 def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]],
-                    accuracy: int = SKETCH_ACCURACY,
                     decimals: int | None = None) -> dict[str, list[float | None]]:
-    """``{column: [quantile, ...]}`` as pandas ``quantile`` gives; None for a column without values."""
-    data = df.select(*[F.nanvl(F.col(n).cast("double"), F.lit(None).cast("double")).alias(n)
-                       for n in wanted])
-    probes = _bracket(data, wanted, accuracy)
-    found = _locate(data, probes) if probes else {}
-    rounded = (lambda v: v) if decimals is None else (lambda v: v if v is None else round(v, decimals))
-    return {n: [rounded(found.get((n, q))) for q in qs] for n, qs in wanted.items()}
-
-
-def _bracket(data: DataFrame, wanted: dict[str, list[float]], accuracy: int) -> list[_Probe]:
-    """Value ranges that hold both neighbours of each wanted rank.
-
-    The sketch is off by at most 1/accuracy of the rows. Three times that, on
-    both sides, also covers the neighbours once there are ``accuracy`` rows;
-    with fewer, the whole value range is small enough.
-    """
-    slack = 3.0 / accuracy
-    aggs = []
-    for n, qs in wanted.items():
-        edges = [e for q in qs for e in (max(q - slack, 0.0), min(q + slack, 1.0))]
-        aggs += [F.count(n).alias(f"n_{n}"), F.min(n).alias(f"lo_{n}"), F.max(n).alias(f"hi_{n}"),
-                 F.percentile_approx(n, edges, accuracy).alias(f"e_{n}")]
-    row = data.agg(*aggs).first()
-    out = []
-    for name, qs in wanted.items():
-        n, edges = row[f"n_{name}"], row[f"e_{name}"]
-        for i, q in enumerate(qs if n else []):
-            lo, hi = edges[2 * i:2 * i + 2] if n >= accuracy else (row[f"lo_{name}"], row[f"hi_{name}"])
-            out.append(_Probe(name, q, lo, hi, (n - 1) * q))
-    return out
-
-
-def _locate(data: DataFrame, probes: list[_Probe]) -> dict[tuple[str, float], float]:
-    places = [f"p{i}" for i in range(len(probes))]
-    counted = (data.select(*[p.place().alias(name) for p, name in zip(probes, places)])
-               .groupBy(*places).agg(F.count("*").alias("c")))
-    entries = F.array(*[
-        F.struct(F.lit(i).alias("probe"), p.slice_of(F.col(name)).alias("slice"),
-                 F.col(name).alias("v"))
-        for i, (p, name) in enumerate(zip(probes, places))])
-    per_value = (counted.select("c", F.explode(entries).alias("r"))
-                 .where(F.col("r.v").isNotNull() & ~F.isnan("r.v"))
-                 .groupBy("r.probe", "r.slice", "r.v").agg(F.sum("c").alias("c")))
-
-    def per_probe(values: list[int]) -> Column:
-        return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("probe") + 1)
-
-    r0 = per_probe([math.floor(p.rank) for p in probes])
-    r1 = per_probe([math.ceil(p.rank) for p in probes])
-    # at most two slices per probe hold a wanted rank, so the broadcast side is a few rows
-    hits = (per_value.groupBy("probe", "slice").agg(F.sum("c").alias("total"))
-            .withColumn("upto", F.sum("total").over(_running("probe", order="slice")))
-            .withColumn("before", F.col("upto") - F.col("total"))
-            .where((F.col("before") <= r1) & (F.col("upto") > r0) & (F.col("slice") >= 0))
-            .select("probe", "slice", "before"))
-    rows = (per_value.join(F.broadcast(hits), ["probe", "slice"])
-            .withColumn("last", F.col("before") + F.sum("c").over(_running("probe", "slice", order="v")))
-            .withColumn("first", F.col("last") - F.col("c"))
-            .groupBy("probe").agg(
-                F.max(F.when((F.col("first") <= r0) & (F.col("last") > r0), F.col("v"))).alias("v0"),
-                F.max(F.when((F.col("first") <= r1) & (F.col("last") > r1), F.col("v"))).alias("v1"))
-            .collect())
-    ends = {r["probe"]: (r["v0"], r["v1"]) for r in rows}
-    out = {}
-    for i, p in enumerate(probes):
-        v0, v1 = ends.get(i, (None, None))
-        if v0 is None or v1 is None:
-            raise RuntimeError(f"the sketch of {p.name} misses its {p.q} quantile; raise accuracy")
-        out[p.name, p.q] = v0 + (v1 - v0) * (p.rank - math.floor(p.rank))
-    return out
-
-
-def _running(*keys: str, order: str):
-    return (Window.partitionBy(*keys).orderBy(order)
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    """``{column: [quantile, ...]}`` on the driver; None for a column without values. This is an action."""
+    rows = {(r["name"], r["q"]): r["value"] for r in quantile_table(df, wanted, decimals=decimals).collect()}
+    return {n: [rows.get((n, float(q))) for q in qs] for n, qs in wanted.items()}
+
+
+def quantile_bounds(df: DataFrame, wanted: dict[str, list[float]], decimals: int | None = None
+                    ) -> dict[str, list[Column]]:
+    """``{column: [quantile, ...]}`` as columns for use on any table: fields of one scalar subquery."""
+    found = quantile_table(df, wanted, decimals=decimals)
+    fields = [(n, i, float(q)) for n, qs in wanted.items() for i, q in enumerate(qs)]
+    row = found.agg(F.struct(*[
+        F.max(F.when((F.col("name") == n) & (F.col("q") == q), F.col("value"))).alias(f"{n}_{i}")
+        for n, i, q in fields]).alias("bounds")).scalar()
+    return {n: [row[f"{n}_{i}"] for i in range(len(qs))] for n, qs in wanted.items()}

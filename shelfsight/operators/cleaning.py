@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import all_of, clip, finite_or_null, numeric
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import quantile_bounds
 
 OUTLIER_COLUMNS = ["item_cnt_day", "item_price_inr", "item_mrp_inr", "revenue_inr"]
 
@@ -69,7 +69,7 @@ def cap_outliers(df: DataFrame, columns: list[str] = OUTLIER_COLUMNS,
     All columns share the same passes over the data. The bounds are rounded, so
     that sums of capped values stay on a decimal grid.
     """
-    bounds = exact_quantiles(df, {c: [low, high] for c in present(df, columns)}, decimals=decimals)
+    bounds = quantile_bounds(df, {c: [low, high] for c in present(df, columns)}, decimals=decimals)
     return df.withColumns({c: clip(F.col(c).cast("double"), *b) for c, b in bounds.items()})
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite_or_null
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import quantile_table
 from .cleaning import known, present
 from .monthly import SERIES, mean, promo_flag, total
 
@@ -75,9 +75,10 @@ def min_max(df: DataFrame, column: str) -> DataFrame:
 
 def quantiles(df: DataFrame, wanted: dict[str, list[float]], decimals: int = 4) -> DataFrame:
     """(column_name, q, value) of linear-interpolated quantiles."""
-    found = exact_quantiles(df, wanted, decimals=decimals)
-    rows = [(n, q, v) for n, qs in wanted.items() for q, v in zip(qs, found[n])]
-    return df.sparkSession.createDataFrame(rows, "column_name string, q double, value double")
+    asked = df.sparkSession.createDataFrame([(n, float(q)) for n, qs in wanted.items() for q in qs],
+                                            "name string, q double")
+    found = quantile_table(df, wanted, decimals=decimals)
+    return asked.join(found, ["name", "q"], "left").withColumnRenamed("name", "column_name")
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] = CORRELATION_COLUMNS) -> DataFrame:

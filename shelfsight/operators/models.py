@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import quantile_bounds, quantile_table
 
 TARGET = "qty_next_month"
 FEATURES = [
@@ -71,20 +71,24 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str, by: list[str]
 
 
 def sales_class(df: DataFrame, low: float = 0.33, high: float = 0.66, by_region: bool = False) -> DataFrame:
-    """LOW, MEDIUM or HIGH by global quantiles of quantity, or by those of the row's region."""
+    """LOW, MEDIUM or HIGH by global quantiles of quantity, or by those of the row's region.
+
+    The regional bounds are a table, joined back by region: any number of regions takes the same passes.
+    A row without a quantity is HIGH; so are all rows of a region that has none.
+    """
     if not by_region:
-        cuts = exact_quantiles(df, {"qty": [low, high]}, decimals=4)["qty"]
-        return df.withColumn("sales_class", _class(*cuts))
-    # one column per region, so all regions share the passes
-    regions = [r[0] for r in df.select("shop_region").distinct().orderBy("shop_region").collect()]
-    inside = {f"qty_{i}": F.col("shop_region").eqNullSafe(F.lit(r)) for i, r in enumerate(regions)}
-    by_column = df.select(*[F.when(hit, F.col("qty")).alias(name) for name, hit in inside.items()])
-    cuts = exact_quantiles(by_column, {name: [low, high] for name in inside}, decimals=4) if inside else {}
-    return df.withColumn("sales_class", F.coalesce(F.lit(None).cast("string"), *[
-        F.when(hit, _class(*cuts[name])) for name, hit in inside.items()]))
-
-
-def _class(q1: float, q2: float) -> Column:
+        q1, q2 = quantile_bounds(df, {"qty": [low, high]}, decimals=4)["qty"]
+        return df.withColumn("sales_class", _class(q1, q2))
+    bounds = (quantile_table(df, {"qty": [low, high]}, by=["shop_region"], decimals=4)
+              .groupBy(F.col("shop_region").alias("cut_region"))
+              .agg(*[F.max(F.when(F.col("q") == q, F.col("value"))).alias(n)
+                     for q, n in ((float(low), "cut_low"), (float(high), "cut_high"))]))
+    return (df.join(bounds, F.col("shop_region").eqNullSafe(F.col("cut_region")), "left")
+            .withColumn("sales_class", _class(F.col("cut_low"), F.col("cut_high")))
+            .drop("cut_region", "cut_low", "cut_high"))
+
+
+def _class(q1: Column, q2: Column) -> Column:
     return F.when(F.col("qty") <= q1, "LOW").when(F.col("qty") <= q2, "MEDIUM").otherwise("HIGH")
 
 

@@ -142,13 +142,13 @@ def fk_filter(t):
 
 @valid_query()
 def cap_outliers(t):
-    sales = C.cap_outliers(t["sales"])
+    sales = C.cap_outliers(P.narrow_sales(t["sales"]))
     return sales.select("date", "shop_id", "item_id", *C.OUTLIER_COLUMNS)
 
 
 @valid_query()
 def sanity_filter(t):
-    sales = C.sanity_filter(C.cap_outliers(t["sales"]))
+    sales = C.sanity_filter(C.cap_outliers(P.narrow_sales(t["sales"])))
     return sales.select("date", "shop_id", "item_id", *C.OUTLIER_COLUMNS)
 
 
@@ -322,7 +322,7 @@ def min_max(m):
 
 @valid_query(4)
 def quantiles(t):
-    return E.quantiles(t["sales"], {c: [0.01, 0.5, 0.99] for c in C.OUTLIER_COLUMNS})
+    return E.quantiles(P.narrow_sales(t["sales"]), {c: [0.01, 0.5, 0.99] for c in C.OUTLIER_COLUMNS})
 
 
 @staged_query([*GRAIN, "qty"])

@@ -77,14 +77,15 @@ def valid_tables(raw: Tables) -> Tables:
     return {**t, "sales": sales, "items": items}
 
 
-def trusted_sales(valid_sales: DataFrame) -> DataFrame:
-    """Capped, plausible sales with their month.
+def narrow_sales(valid_sales: DataFrame) -> DataFrame:
+    """The columns that the monthly facts need, written once: the caps pass over them several times, and none of
+    these passes parses dates or checks keys again."""
+    return stage(C.column_subset(valid_sales, [*FACT_KEYS, *C.OUTLIER_COLUMNS, *FACT_FLAGS]), "valid-sales")
 
-    The columns that the monthly facts need are written once: the caps pass over them twice and the caller
-    once more, and none of these passes parses dates or checks keys again.
-    """
-    once = stage(C.column_subset(valid_sales, [*FACT_KEYS, *C.OUTLIER_COLUMNS, *FACT_FLAGS]), "valid-sales")
-    return M.derive_calendar_keys(C.sanity_filter(C.cap_outliers(once)))
+
+def trusted_sales(valid_sales: DataFrame) -> DataFrame:
+    """Capped, plausible sales with their month."""
+    return M.derive_calendar_keys(C.sanity_filter(C.cap_outliers(narrow_sales(valid_sales))))
 
 
 def calendar_months(t: Tables) -> DataFrame:
