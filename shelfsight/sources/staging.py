@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a session that names none uses one below its warehouse."""
+    """The shared folder the cluster names. Only a local session may name none: its driver is its executor,
+    and it gets a folder of its own machine once."""
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staging"
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="shelfsight-"))
+        root = context.getCheckpointDir()
     return root.rstrip("/")
 
 
