@@ -56,7 +56,7 @@ def quantile_table(df: DataFrame, wanted: dict[str, list[float]], by: list[str]
     """
     by = list(by)
     pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("v")) for n in wanted])
-    known = df.select(*by, F.explode(pairs).alias("p")).where("not isnan(p.v)").select(*by, "p.name", "p.v")
+    known = df.select(*by, F.explode(pairs).alias("p")).where("p.v is not null and not isnan(p.v)").select(*by, "p.name", "p.v")
     # a key that cannot be null: else Catalyst repeats all of it in a filter below each join
     data = with_order_key(known, "v", "key").withColumn("key", F.coalesce("key", F.lit(0)))
     few = not by or is_small(df.select(*by).distinct())
