@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import written
-from .words import runs
+from .words import lean, runs
 
 BLOCK_ROWS = 64
 BUFFER_ROWS = 2048  # rows a task holds while it cuts blocks; a query's floor comes from its buffer
@@ -73,19 +73,19 @@ def top_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
+def flat(table: pa.Table, column: str) -> np.ndarray:
+    """All elements of a list column."""
+    return table.column(column).combine_chunks().flatten().to_numpy()
+
+
 class Blocks:
     """The forward indexes of one shard."""
 
     def __init__(self, table: pa.Table, dims: int, number: type):
         sizes = np.diff(table.column("ids").combine_chunks().offsets.to_numpy())
-
-        def matrix(name: str) -> np.ndarray:
-            flat = table.column(name).combine_chunks().flatten().to_numpy()
-            return flat.reshape(-1, dims).astype(number) if dims else np.zeros((sizes.sum() if name == "rows" else len(sizes), 0), number)
-
-        self.ids = table.column("ids").combine_chunks().flatten().to_numpy()
-        self.rows = matrix("rows")
-        self.most, self.least = matrix("most"), matrix("least")
+        self.ids = flat(table, "ids")
+        self.rows = flat(table, "rows").reshape(len(self.ids), dims).astype(number)
+        self.most, self.least = (flat(table, c).reshape(len(sizes), dims).astype(number) for c in ("most", "least"))
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
 
@@ -205,7 +205,7 @@ def blocks(df: DataFrame, every: int, k: int, scale: float, id: str = "vec_id",
     tasks = max(1, math.ceil(n / BUFFER_ROWS))
     placed = rows.mapInArrow(place, "id bigint, pivot int, close double, q binary")
     # many small copies of one vector differ in id, so a range never has to hold them all
-    built = placed.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(build, BLOCK_SCHEMA)
+    built = placed.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(lean(build), BLOCK_SCHEMA)
     return written(built, "op11-blocks"), dims, n, number
 
 
@@ -223,7 +223,12 @@ def top_k(df: DataFrame, every: int = 20, k: int = 20, scale: float = 64.0, id:
     shard = F.pmod(F.xxhash64("buffer", F.lit("shard")), F.lit(shards)).cast("int")
     every_chunk = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))
     every_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    asking = index.where(F.size("asked") > 0).select(*FIELDS, chunk.alias("chunk"), every_shard.alias("shard")) \
+    # a query travels to the shards by itself, without the block it stood in
+    none = F.array().cast("array<bigint>")
+    alone = {"ids": F.transform("asked", lambda i: F.get("ids", i)), "most": none, "least": none,
+             "rows": F.flatten(F.transform("asked", lambda i: F.slice("rows", i * dims + 1, dims)))}
+    asking = index.where(F.size("asked") > 0).select(
+        *[alone.get(f, F.col(f)).alias(f) for f in FIELDS], chunk.alias("chunk"), every_shard.alias("shard")) \
         .withColumn("is_block", F.lit(0))
     answering = index.select(*FIELDS, shard.alias("shard"), every_chunk.alias("chunk")) \
         .withColumn("is_block", F.lit(1))
@@ -236,23 +241,20 @@ def top_k(df: DataFrame, every: int = 20, k: int = 20, scale: float = 64.0, id:
             if split in (0, pair.num_rows):
                 continue
             q = pair.slice(0, split).combine_chunks()
-            parts = Blocks(q, dims, number)
-            asked = q.column("asked").combine_chunks()
-            counts = np.diff(asked.offsets.to_numpy())
-            place = np.repeat(parts.starts, counts) + asked.flatten().to_numpy()
+            asked, own, floors = (flat(q, c) for c in ("asked", "ids", "floors"))
+            counts = np.diff(q.column("asked").combine_chunks().offsets.to_numpy())
             buffer = np.repeat(q.column("buffer").to_numpy(), counts)
-            within = np.repeat(q.column("place").to_numpy() * BLOCK_ROWS, counts) + asked.flatten().to_numpy()
-            floors = q.column("floors").combine_chunks().flatten().to_numpy()
+            within = np.repeat(q.column("place").to_numpy() * BLOCK_ROWS, counts) + asked
             found, ids, scores = Blocks(pair.slice(split).combine_chunks(), dims, number).search(
-                parts.rows[place], parts.ids[place], floors, k)
+                flat(q, "rows").reshape(len(own), dims).astype(number), own, floors, k)
             scores = np.clip(scores, LEAST, -LEAST - 1) if number is object else scores
             yield pa.RecordBatch.from_arrays(
                 [pa.array(buffer[found], pa.int64()), pa.array(within[found], pa.int32()),
-                 pa.array(parts.ids[place][found], pa.int64()), pa.array(ids, pa.int64()),
+                 pa.array(own[found], pa.int64()), pa.array(ids, pa.int64()),
                  pa.array(scores.astype(np.int64), pa.int64())],
                 ["buffer", "place", "query_id", "vec_id", "score"])
 
-    found = met.mapInArrow(task, "buffer bigint, place int, query_id bigint, vec_id bigint, score bigint")
+    found = met.mapInArrow(lean(task), "buffer bigint, place int, query_id bigint, vec_id bigint, score bigint")
     best_first = Window.partitionBy("buffer", "place").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

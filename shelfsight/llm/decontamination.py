@@ -6,8 +6,9 @@ benchmark) keeps the automaton small, and each text is scanned once, left to rig
 back to code points of the original text.
 
 Defined results: a null or empty text has no words and no hits; an item without words has no window;
-a null item id is left out; equal items and repeated rows count once per id; further columns of the
-documents are kept as they are, and clash-free names are the caller's choice.
+the windows of an item without an id are hit like others, but it is not counted among the items; equal items and
+repeated rows count once per id; very long texts are scanned whole; further columns of the documents are kept,
+except that the new ones replace columns of the same names.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import fresh
-from .words import ALNUM, pieces, texts
+from .store import fresh, without
+from .words import ALNUM, lean, pieces, texts
 
 WINDOW = 10
 ITEM_BYTES = 32 << 20  # benchmark text per automaton: what the driver collects and broadcasts at once
@@ -38,7 +39,7 @@ class Patterns:
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
         self.numbers: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
+        found: dict[tuple[int, ...], set[str | None]] = {}
         for item, text in items:
             words = words_of(text)
             if not words:
@@ -49,7 +50,7 @@ class Patterns:
                 found.setdefault(tuple(ids[i:i + width]), set()).add(item)
         self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for key, names in found.items():
-            self.machine.add_word(key, (len(key), sorted(names)))
+            self.machine.add_word(key, (len(key), sorted(names, key=lambda x: (x is not None, x))))
         self.machine.make_automaton()
         self.any = bool(found)
 
@@ -72,13 +73,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     The benchmark is read in blocks of a bounded size, one automaton each; the usual one fits a single block.
     No shuffle: documents stay where they are read.
     """
-    items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text")) \
-        .where(F.col("item").isNotNull())
+    items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text"))
+    docs = without(docs, [words, hits], keep=[text])
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(total // item_bytes) + 1
     out = docs
     for block in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block)
         shipped = docs.sparkSession.sparkContext.broadcast(
             [(r["item"], (r["text"] or "").encode()) for r in part.collect()])
         first = block == 0
@@ -97,7 +98,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
                     [*cols, pa.array([n for n, _ in found], pa.int64()), pa.array(lists, kind)],
                     [c for c in batch.schema.names if first or c not in (words, hits)] + [words, hits])
 
-        out = out.mapInArrow(task, schema)
+        out = out.mapInArrow(lean(task), schema)
     return out
 
 
@@ -114,7 +115,8 @@ def covered(hits: F.Column) -> F.Column:
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: words, words hit, items found and their digest."""
     found = scan(docs.select("doc_id", "text"), benchmark, window=window)
-    items = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item"])))
+    names = F.array_distinct(F.transform("hits", lambda h: h["item"]))
+    items = F.array_sort(F.filter(names, lambda x: x.isNotNull()))
     return found.select(
         "doc_id", "n_words", covered(F.col("hits")).alias("n_hit"), F.size(items).cast("bigint").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"))
@@ -139,7 +141,7 @@ def original_spans(found: DataFrame, text: str = "text", hits: str = "hits", spa
                 rows.append([{"start": a, "stop": b, "item": h["item"]} for (a, b), h in zip(places, hs or [])])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], [*batch.schema.names, spans])
 
-    return found.mapInArrow(task, schema)
+    return found.mapInArrow(lean(task), schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import without
-from .words import pieces, texts
+from .words import lean, pieces, texts
 
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 SENTINEL = re.compile("<[PSM]>")
@@ -121,7 +121,7 @@ def transform(docs: DataFrame, id: str = "doc_id", text: str = "text", unit: str
                                              [*batch.schema.names, *(n for n, _ in COLUMNS)])
 
     schema = ", ".join([f"`{n}` {t}" for n, t in rows.dtypes] + [SCHEMA])
-    return rows.mapInArrow(task, schema)
+    return rows.mapInArrow(lean(task), schema)
 
 
 def restored(output: Column, form: Column) -> Column:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import written
-from .words import ALNUM, lists, pieces, texts
+from .words import ALNUM, lean, lists, pieces, texts
 
 K = 10
 SCALE = 1_000_000_000
@@ -80,7 +80,7 @@ def forward_index(docs: DataFrame, terms: list[bytes], id: str = "doc_id", text:
                  lists(counts, pa.int32())], ["doc_id", "n", "terms", "counts"])
 
     rows = docs.select(F.col(id).cast("bigint").alias(id), F.col(text).cast("string").alias(text))
-    return rows.mapInArrow(task, "doc_id bigint, n bigint, terms array<int>, counts array<int>").where("n > 0")
+    return rows.mapInArrow(lean(task), "doc_id bigint, n bigint, terms array<int>, counts array<int>").where("n > 0")
 
 
 def weight(n_docs: int, df: int) -> int:
@@ -231,7 +231,7 @@ def _search_block(docs: DataFrame, asked: DataFrame, k: int, id: str, text: str)
                 [pa.array(keys, pa.int32()), pa.array(ids, mask=ids == NO_ID, type=pa.int64()), pa.array(scores)],
                 ["query", "doc_id", "score"])
 
-    found = index.mapInArrow(task, "query int, doc_id bigint, score bigint")
+    found = index.mapInArrow(lean(task), "query int, doc_id bigint, score bigint")
     names = spark.createDataFrame([(i, r["item_id"]) for i, r in enumerate(rows)],
                                   f"query int, item_id {dict(asked.dtypes)['item_id']}")
     # as many rows as items in the block, whose text is bounded

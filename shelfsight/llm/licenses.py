@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import WordHashes, pieces, windows
+from .store import without
+from .words import WordHashes, lean, pieces, windows
 
 THRESHOLD = 0.8
 MAX_TEMPLATES = 10_000  # templates are broadcast; more are refused
@@ -112,7 +113,8 @@ def scan_text(text: str, templates: list[Template], cache: WordHashes, threshold
 
 def scan(docs: DataFrame, text: str = "text", found: str = "licenses", templates: dict[str, list[str]] | None = None,
          threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with the licence notices of each text; nothing is shuffled."""
+    """``docs`` with the licence notices of each text, in place of a column called ``found``; nothing is shuffled."""
+    docs = without(docs, [found], keep=[text])
     chosen = [(name, normal(body)) for name, bodies in (templates or TEMPLATES).items() for body in bodies]
     if len(chosen) > MAX_TEMPLATES:
         raise ValueError(f"{len(chosen)} templates; at most {MAX_TEMPLATES} are broadcast")
@@ -128,7 +130,7 @@ def scan(docs: DataFrame, text: str = "text", found: str = "licenses", templates
             rows = [scan_text(x or "", known, cache, threshold) for x in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], [*batch.schema.names, found])
 
-    return docs.mapInArrow(task, schema)
+    return docs.mapInArrow(lean(task), schema)
 
 
 def report(docs: DataFrame) -> DataFrame:

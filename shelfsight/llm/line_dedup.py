@@ -19,8 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import SMALL_ROWS, fresh, is_small, written
-from .words import pieces, texts
+from .store import SMALL_ROWS, fresh, is_small, without, written
+from .words import lean, pieces, texts
 
 MIN_SITES = 5
 SKETCH_BITS = 10
@@ -49,7 +49,7 @@ def lines(docs: DataFrame, text: str, site: str, doc_id: str) -> DataFrame:
                 [pa.array(flat.view(np.int64)), batch.column("site").take(pa.array(place)),
                  batch.column("doc").take(pa.array(place))], ["line", "site", "doc"])
 
-    return narrow.mapInArrow(task, "line bigint, site string, doc bigint")
+    return narrow.mapInArrow(lean(task), "line bigint, site string, doc bigint")
 
 
 def boilerplate(docs: DataFrame, text: str = "text", site: str = "source", doc_id: str = "doc_id",
@@ -95,8 +95,10 @@ def without_boilerplate(docs: DataFrame, text: str = "text", site: str = "source
     """``docs`` with cleaned texts, the number of lines with a word, and the number removed.
 
     The boilerplate lines are broadcast when their checked number is at most ``small_rows`` (16 bytes each);
-    otherwise each document is joined with those of its own lines that are boilerplate.
+    otherwise each document is joined with those of its own lines that are boilerplate. The two new columns
+    replace columns of the same names.
     """
+    docs = without(docs, [total, removed], keep=[text, site, doc_id])
     spread = written(boilerplate(docs, text, site, doc_id, min_sites), "boilerplate")
     schema = ", ".join([f"`{n}` {t}" for n, t in docs.dtypes] + [f"`{total}` bigint", f"`{removed}` bigint"])
     names = docs.columns
@@ -123,7 +125,7 @@ def without_boilerplate(docs: DataFrame, text: str = "text", site: str = "source
             for batch in pieces(batches, text):
                 yield cleaned(batch, [shipped.value] * batch.num_rows)
 
-        return docs.mapInArrow(task, schema)
+        return docs.mapInArrow(lean(task), schema)
 
     # Shuffled form: a document's key is its id and text, so repeated rows share one list of lines.
     key = F.xxhash64(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(FAR_ID)), F.coalesce(F.col(text), F.lit("")))
@@ -152,7 +154,7 @@ def without_boilerplate(docs: DataFrame, text: str = "text", site: str = "source
                                np.array([k["doc"] for k in known], np.int64)))
             yield cleaned(batch, tables)
 
-    return wide.mapInArrow(task_wide, schema)
+    return wide.mapInArrow(lean(task_wide), schema)
 
 
 def deduped(docs: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql.window import Window
 
 from .components import components
 from .store import hinted, written
-from .words import WordHashes, lists, longs, pieces, runs, texts, windows
+from .words import WordHashes, lean, lists, longs, pieces, runs, texts, windows
 
 WIDTH = 5
 PERCENT = 80
@@ -46,11 +46,11 @@ RANGES = 4096  # of the top 32 bits of a shingle
 MAP_BITS = 27  # the bit map of frequent shingles takes 2**27 bits, 16 MB, whatever the size of the corpus
 MAP_SHARE = 0.125  # and is of use while at most this share of its bits is set
 STEPS = [2 ** k for k in range(1, 25)]  # frequencies that have a map
-CHUNK_SHINGLES = 4_000_000
+CHUNK_SHINGLES = 1_000_000
 RANGE_VALUES = 4_000_000  # values of a range that are sorted at once; more are counted slot by slot
 SALTED = 1_000  # an index list is salted if its token may be in more than one in so many documents
 SALTS = 32
-PART_PREFIX = 1_500_000  # tokens of prefixes that a part of a cluster holds
+PART_PREFIX = 1_000_000  # tokens of prefixes that a part of a cluster holds
 PART_SHINGLES = 500_000  # tokens of a cluster's part that a task holds; two parts at a time
 NO_ID = -(1 << 63)
 
@@ -119,7 +119,7 @@ def measured(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
         if n_held:
             yield ranges()
 
-    return narrow.mapInArrow(task, "kind int, id bigint, n bigint, cls bigint, packed binary")
+    return narrow.mapInArrow(lean(task), "kind int, id bigint, n bigint, cls bigint, packed binary")
 
 
 def frequency_maps(packed: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def frequency_maps(packed: DataFrame) -> DataFrame:
                     ["range", "step", "bits", "slice"])
 
     return packed.repartition("id").sortWithinPartitions("id") \
-        .mapInArrow(task, "range bigint, step bigint, bits bigint, slice binary")
+        .mapInArrow(lean(task), "range bigint, step bigint, bits bigint, slice binary")
 
 
 class Frequent:
@@ -244,7 +244,7 @@ def index(docs: DataFrame, order, text: str) -> DataFrame:
                  lists(salts, pa.int32())], ["cls", "n", "tokens", "salts"])
 
     return docs.select(F.col(text).alias("text")) \
-        .mapInArrow(task, "cls bigint, n int, tokens array<bigint>, salts array<int>")
+        .mapInArrow(lean(task), "cls bigint, n int, tokens array<bigint>, salts array<int>")
 
 
 def block_edges(indexed: DataFrame) -> DataFrame:
@@ -395,7 +395,7 @@ def refined(indexed: DataFrame, clusters: DataFrame, part_tokens: int) -> DataFr
             if found is not None:
                 yield found
 
-    return dealt.mapInArrow(task, "a bigint, b bigint")
+    return dealt.mapInArrow(lean(task), "a bigint, b bigint")
 
 
 def cluster_links(dealt: DataFrame) -> DataFrame:
@@ -409,7 +409,7 @@ def cluster_links(dealt: DataFrame) -> DataFrame:
             if found is not None:
                 yield found
 
-    return dealt.mapInArrow(task, "a bigint, b bigint")
+    return dealt.mapInArrow(lean(task), "a bigint, b bigint")
 
 
 def class_sets(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -425,7 +425,7 @@ def class_sets(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
     holder = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID))
     return docs.select(holder.alias("id"), F.col(text).alias("text")) \
-        .mapInArrow(task, "cls bigint, holder bigint, shingles binary")
+        .mapInArrow(lean(task), "cls bigint, holder bigint, shingles binary")
 
 
 def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
@@ -470,11 +470,20 @@ def grouped(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One document of each group (its smallest doc_id), in the columns of ``docs``.
 
-    Repeated rows of that doc_id are reduced to one; documents without a set, or without a doc_id and links, stay.
+    Rows of that doc_id with the same text are reduced to one; documents without a set, or without a doc_id and
+    links, stay.
     """
     groups = grouped(docs, text, doc_id)
     gone = groups.where("n_shingles > 0 and component_id is not null and not (doc_id <=> component_id)")
     names = docs.columns
     out = docs.join(hinted(gone.select(F.col("doc_id").alias("gone_id")).where("gone_id is not null").distinct()),
                     F.col(doc_id) == F.col("gone_id"), "left_anti")
-    return out.select(*names)
+    # rows that repeat an id are few or none: only these are compared by text
+    again = groups.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id", "cls").count().where("count > 1")
+    again = written(again.select("doc_id").distinct(), "join-repeats")
+    if again.isEmpty():
+        return out.select(*names)
+    again = hinted(again.select(F.col("doc_id").alias("gone_id")))
+    same = F.col(doc_id) == F.col("gone_id")
+    return out.join(again, same, "left_anti").select(*names).unionByName(
+        out.join(again, same, "left_semi").select(*names).dropDuplicates([doc_id, text]))

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import fresh, hinted, written
-from .words import WordHashes, pieces, texts, windows
+from .store import fresh, hinted, without, written
+from .words import WordHashes, lean, pieces, texts, windows
 
 MIN_WORDS = 50
 SPACE = bytes([32, *range(9, 14)])
@@ -77,7 +77,7 @@ def counted(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
                 [*batch.columns, *(pa.array(rows[:, i]) for i in range(len(COUNTS)))],
                 [*batch.schema.names, *(prefix + c for c in COUNTS)])
 
-    return docs.mapInArrow(task, schema)
+    return docs.mapInArrow(lean(task), schema)
 
 
 def ratios(prefix: str = "") -> dict[str, F.Column]:
@@ -138,7 +138,9 @@ def cutoffs(groups: DataFrame, keys: list[str], group_rows: int = GROUP_ROWS, sp
 
 def scored(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source",
            prefix: str = "", group_rows: int = GROUP_ROWS, spread: float = SPREAD) -> DataFrame:
-    """``docs`` with its counts, ``base_failed`` and ``kept`` (all named with ``prefix``)."""
+    """``docs`` with its counts, ``base_failed`` and ``kept`` (all named with ``prefix``), which replace columns
+    of the same names."""
+    docs = without(docs, [prefix + c for c in (*COUNTS, "base_failed", "kept")], keep=[text, lang, source])
     g, s = "group_lang", "group_source"
     measured = counted(docs.select(F.col(text).alias("t"), F.col(lang).alias(g), F.col(source).alias(s)), "t")
     groups = written(sketches(measured.where(~base_failed()).drop("t"), [g, s]), "quality-sketches")

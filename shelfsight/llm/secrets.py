@@ -15,7 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import new_path
+from .store import fresh, new_path
 
 
 class Rule(NamedTuple):
@@ -77,7 +77,7 @@ def rule_version(rules: tuple[Rule, ...]) -> F.Column:
 
 def scan_versions(versions: DataFrame, ledger: str | None = None, text: str = "text", spans: str = "spans",
                   rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``versions`` with the spans found in their content; scans what the ledger at that path hasn't seen.
+    """``versions`` with the spans found in their content, in place of a column called so; scans what the ledger at that path hasn't seen.
 
     Without a path, a new ledger below the shared folder is used.
     """
@@ -94,11 +94,14 @@ def scan_versions(versions: DataFrame, ledger: str | None = None, text: str = "t
         blobs = blobs.join(seen.select("blob").distinct(), "blob", "left_anti")
     once = blobs.groupBy("blob").agg(F.first("text").alias("text"))
     scan(once, rules=rules).select("blob", rule_version(rules).alias("version"), "spans").write.mode("append").parquet(path)
+    blob, found, own = (fresh(versions, n) for n in ("known_blob", "known_spans", "own_blob"))
     known = spark.read.schema(schema).parquet(path).where(F.col("version") == rule_version(rules)) \
-        .select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    rows = versions.withColumn("__address", address)
-    return rows.join(known, F.col("__address") == F.col("__blob"), "left").select(
-        *versions.columns, F.col("__spans").alias(spans))
+        .select(F.col("blob").alias(blob), F.col("spans").alias(found))
+    if ledger:  # two runs at once may both have scanned a blob
+        known = known.groupBy(blob).agg(F.first(found).alias(found))
+    kept = [F.col(f"`{c}`") for c in versions.columns if c.lower() != spans.lower()]
+    return versions.withColumn(own, address).join(known, F.col(own) == F.col(blob), "left").select(
+        *kept, F.col(found).alias(spans))
 
 
 def written_out(spans: F.Column) -> F.Column:

@@ -23,7 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import mix, pieces
+from .store import without
+from .words import lean, mix, pieces
 
 BLANK = "▁"
 MAX_PIECES = 1_000_000  # a vocabulary is broadcast; a larger file is refused, not cut
@@ -304,7 +305,8 @@ def ship(spark: SparkSession, path: str):
 
 
 def encode(docs: DataFrame, shipped, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with the piece ids of each text; nothing is shuffled."""
+    """``docs`` with the piece ids of each text, in place of a column called ``ids``; nothing is shuffled."""
+    docs = without(docs, [ids], keep=[text])
     schema = ", ".join([f"`{n}` {t}" for n, t in docs.dtypes] + [f"`{ids}` array<int>"])
 
     def task(batches: Iterator[pa.RecordBatch]):
@@ -315,11 +317,12 @@ def encode(docs: DataFrame, shipped, text: str = "text", ids: str = "ids") -> Da
             found = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, ids])
 
-    return docs.mapInArrow(task, schema)
+    return docs.mapInArrow(lean(task), schema)
 
 
 def decode(encoded: DataFrame, shipped, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """``encoded`` with the text that the ids spell."""
+    """``encoded`` with the text that the ids spell, in place of a column called ``text``."""
+    encoded = without(encoded, [text], keep=[ids])
     schema = ", ".join([f"`{n}` {t}" for n, t in encoded.dtypes] + [f"`{text}` string"])
 
     def task(batches: Iterator[pa.RecordBatch]):
@@ -330,7 +333,7 @@ def decode(encoded: DataFrame, shipped, ids: str = "ids", text: str = "decoded")
             texts = [decoder.decode(flat[a:b]) for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text])
 
-    return encoded.mapInArrow(task, schema)
+    return encoded.mapInArrow(lean(task), schema)
 
 
 def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
