@@ -39,7 +39,7 @@ def with_order_key(df: DataFrame, value: str, key: str) -> DataFrame:
             .otherwise((exponent + 1023) * F.lit(MANTISSA) + ((scaled - 1) * float(MANTISSA)).cast("bigint")))
     moved = F.when(scaled >= 2, F.lit(1)).when(scaled < 1, F.lit(-1)).otherwise(F.lit(0))
     return (df.withColumn("__size", F.abs(F.nanvl(x, F.lit(None).cast("double"))))
-            .withColumn("__guess", F.floor(F.log2(size)))
+            .withColumn("__guess", F.floor(F.log2(F.when(size < float("inf"), size))))
             .withColumn("__scaled", size / F.pow(two, guess))
             .withColumn("__exponent", guess + moved)
             .withColumn("__scaled", F.when(scaled >= 2, scaled / 2).when(scaled < 1, size / F.pow(two, exponent))
