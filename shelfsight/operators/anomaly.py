@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
@@ -30,25 +33,72 @@ def expected_path(m: int) -> float:
     return 2.0 * (math.log(m - 1) + 0.5772156649) - 2.0 * (m - 1) / m
 
 
+class Draw:
+    """The rows with the smallest hashes for each tree, of all rows seen so far: a state that merges."""
+
+    def __init__(self, trees: int, size: int, seed: int):
+        rng = np.random.default_rng([seed, trees])
+        self.salts = rng.integers(0, 2 ** 63, trees, dtype=np.uint64)
+        self.size = size
+        self.hashes = [np.zeros(0, np.uint64)] * trees
+        self.rows: list[np.ndarray] = [np.zeros((0, 0))] * trees
+
+    def add(self, row_hash: np.ndarray, x: np.ndarray) -> None:
+        for tree, salt in enumerate(self.salts):
+            h = _mixed(row_hash ^ salt)
+            old = self.hashes[tree]
+            if len(old) == self.size:
+                near = h < old[-1]
+                if not near.any():
+                    continue
+                h, rows = h[near], x[near]
+            else:
+                rows = x
+            every = np.concatenate([old, h])
+            both = np.concatenate([self.rows[tree].reshape(-1, x.shape[1]), rows])
+            order = np.lexsort((*both.T[::-1], every))[:self.size]  # equal hashes by the row's values
+            self.hashes[tree], self.rows[tree] = every[order], both[order]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+        return h ^ (h >> np.uint64(33))
+
+
+def draw_rows(pool: DataFrame, features: list[str], keys: list[str], trees: int, size: int, seed: int) -> DataFrame:
+    """(tree, h, *features): from each task, at most ``size`` rows for each tree, those with the smallest hashes."""
+    rows = pool.select(F.xxhash64(*keys, F.lit(seed)).alias("row_hash"), *features)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draw = Draw(trees, size, seed)
+        for batch in batches:
+            if batch.num_rows:
+                draw.add(batch.column("row_hash").to_numpy().view(np.uint64),
+                         np.column_stack([batch.column(f).to_numpy() for f in features]))
+        for tree, (h, x) in enumerate(zip(draw.hashes, draw.rows)):
+            if len(h):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(h), tree), pa.int32()), pa.array(h.view(np.int64)),
+                     *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(len(features)))], ["tree", "h", *features])
+
+    return rows.mapInArrow(task, "tree int, h bigint, " + ", ".join(f"`{f}` double" for f in features))
+
+
 def grow_forest(pool: DataFrame, features: list[str], keys: list[str], n_rows: int,
                 trees: int = 200, subsample: int = 256, seed: int = 42) -> DataFrame:
     """Node table of all trees, each grown in its own task on at most ``subsample`` rows.
 
-    A row joins a tree when its hash for that tree is small; the threshold leaves
-    some room, and the smallest hashes are kept, so a tree has its full sample.
+    A tree's sample are the rows with its smallest hashes. Each task sends its own smallest ones only, and the
+    smallest of those are the sample, so trees are the same for any partitioning.
     """
     psi = min(subsample, n_rows)
-    share = min(1.0, (1.5 * psi + 64) / max(n_rows, 1))
-    spread = float(2 ** 31)
-    drawn = (pool.select(*keys, *features, F.explode(F.transform(
-        F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda t: F.struct(t.alias("tree"),
-                           (F.pmod(F.xxhash64(*keys, t, F.lit(seed)), F.lit(2 ** 31)) / spread).alias("h")))
-    ).alias("draw")).where(F.col("draw.h") < share)
-        .select(*keys, *features, "draw.tree", "draw.h"))
-    place = Window.partitionBy("tree").orderBy("h", *keys)
+    # hashes are unsigned: half the range is moved so that signed order is theirs
+    place = Window.partitionBy("tree").orderBy(F.col("h").bitwiseXOR(F.lit(-2 ** 63)), *features)
     # a fixed partition count keeps AQE from growing all trees in one task
     tasks = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = draw_rows(pool, features, keys, trees, psi, seed)
     members = drawn.repartition(tasks, "tree").withColumn("place", F.row_number().over(place)).where(F.col("place") <= psi)
     depth = math.ceil(math.log2(max(psi, 2)))
 
@@ -112,28 +162,65 @@ def _path_lengths(tree: np.ndarray, x: np.ndarray) -> np.ndarray:
         at = np.where(inner, child, at)
 
 
-def isolation_forest(monthly: DataFrame, trees: int = 200, contamination: float = 0.02,
-                     max_rows: int | None = None, seed: int = 42, subsample: int = 256,
-                     features: list[str] = ANOMALY_FEATURES, keys: list[str] = GRAIN) -> DataFrame:
-    """Rows with ``anomaly_score`` (below 0 is anomalous) and ``is_anomaly`` (-1 or 1).
-
-    Trees grow from, and scores cover, the whole table. A given ``max_rows`` asks for
-    a reproducible sample of that size instead.
-    """
+@dataclass
+class IsolationForest:
+    """Nodes of all trees, the size of a tree's sample, and the score below which a row is anomalous."""
+    features: list[str]
+    nodes: DataFrame
+    sample_size: int
+    offset: float
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``anomaly_score`` (below 0 is anomalous) and ``is_anomaly`` (-1 or 1)."""
+        rows = fill_feature_matrix(df, self.features)
+        decision = F.col("score") - F.lit(self.offset)
+        return (score_rows(rows, self.nodes, self.features, self.sample_size).withColumn("anomaly_score", decision)
+                .withColumn("is_anomaly", F.when(decision < 0, -1).otherwise(1)).drop("score"))
+
+    def save(self, path: str) -> None:
+        spark = self.nodes.sparkSession
+        self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+        facts = json.dumps({"features": self.features, "sample_size": self.sample_size, "offset": self.offset})
+        spark.createDataFrame([(facts,)], "facts string").write.mode("overwrite").parquet(f"{path}/facts")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> IsolationForest:
+        facts = json.loads(spark.read.parquet(f"{path}/facts").first()["facts"])
+        return IsolationForest(facts["features"], spark.read.parquet(f"{path}/nodes"), facts["sample_size"],
+                               facts["offset"])
+
+
+def fit_isolation_forest(monthly: DataFrame, trees: int = 200, contamination: float = 0.02,
+                         max_rows: int | None = None, seed: int = 42, subsample: int = 256,
+                         features: list[str] = ANOMALY_FEATURES, keys: list[str] = GRAIN
+                         ) -> tuple[IsolationForest | None, DataFrame]:
+    """The forest, and the scored rows it was fitted on; no forest for an empty table."""
     features = present(monthly, features)
     pool = monthly if max_rows is None else sample_exact(monthly, max_rows, keys, seed)
     pool = stage(fill_feature_matrix(pool.select(*keys, *features), features), "anomaly-pool")
     n_rows = pool.count()
     if n_rows == 0:
-        return pool.withColumns({"anomaly_score": F.lit(0.0), "is_anomaly": F.lit(1)})
+        return None, pool.withColumns({"anomaly_score": F.lit(0.0), "is_anomaly": F.lit(1)})
     pool = spread(pool, *keys)
-    nodes = grow_forest(pool, features, keys, n_rows, trees, subsample, seed)
-    scored = stage(score_rows(pool, nodes, features, min(subsample, n_rows)), "anomaly-scores")
+    nodes = stage(grow_forest(pool, features, keys, n_rows, trees, subsample, seed), "anomaly-nodes")
+    size = min(subsample, n_rows)
+    scored = stage(score_rows(pool, nodes, features, size), "anomaly-scores")
     offset = exact_quantiles(scored, {"score": [contamination]})["score"][0]
     decision = F.col("score") - F.lit(offset)
-    return (scored.withColumn("anomaly_score", decision)
-            .withColumn("is_anomaly", F.when(decision < 0, -1).otherwise(1))
-            .drop("score"))
+    return IsolationForest(features, nodes, size, offset), (
+        scored.withColumn("anomaly_score", decision)
+        .withColumn("is_anomaly", F.when(decision < 0, -1).otherwise(1)).drop("score"))
+
+
+def isolation_forest(monthly: DataFrame, trees: int = 200, contamination: float = 0.02,
+                     max_rows: int | None = None, seed: int = 42, subsample: int = 256,
+                     features: list[str] = ANOMALY_FEATURES, keys: list[str] = GRAIN) -> DataFrame:
+    """Rows with ``anomaly_score`` (below 0 is anomalous) and ``is_anomaly`` (-1 or 1).
+
+    Trees grow from, and scores cover, the whole table. A given ``max_rows`` asks for
+    a reproducible sample of that size instead.
+    """
+    return fit_isolation_forest(monthly, trees, contamination, max_rows, seed, subsample, features, keys)[1]
 
 
 def top_anomalies(scored: DataFrame, k: int | None = None, keys: list[str] = GRAIN) -> DataFrame:

@@ -14,6 +14,7 @@ from ..functions.quantiles import quantile_table
 from .cleaning import known, present
 from .monthly import SERIES, mean, promo_flag, total
 
+# The columns whose correlations the analysis gives.
 CORRELATION_COLUMNS = [
     "qty", "avg_price", "avg_mrp", "promo_days", "stockout_days", "revenue",
     "holiday_days", "weekend_days", "festive_days", "summer_days", "monsoon_days",

@@ -1,59 +1,110 @@
-"""Feature encoding: one-hot columns, vectors and scaling."""
+"""Feature encoding: label dictionaries, one-hot columns, vectors and scaling."""
 
 from __future__ import annotations
 
+import json
 import math
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import (
-    ElementwiseProduct, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler)
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MAX_LABELS = 10_000
+from ..functions.joins import BROADCAST_ROWS
+from ..sources.staging import stage
+from .cleaning import fill_feature_matrix
 
+IN_PARTITION = (1 << 33) - 1  # bits of monotonically_increasing_id that count within a partition
 
-def one_hot(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Replace each column by 0/1 columns, one per label but the alphabetically first; null is all 0."""
+
+def label_dictionary(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(name, label, place, n_labels): the distinct labels of each column, numbered from 0 in order; null is none.
+
+    Labels are dealt to tasks by range, so a label's place is its place in its partition plus the number of labels
+    in the partitions before. Any number of labels is numbered without a task or the driver holding them all.
+    """
     pairs = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("label")) for c in columns])).alias("p"))
-    limit = MAX_LABELS * len(columns)
-    rows = pairs.select("p.*").where("label is not null").distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{columns} have more than {limit} labels")
-    new = {}
-    for c in columns:
-        for label in sorted(r["label"] for r in rows if r["name"] == c)[1:]:
-            new[f"{c}_{label}"] = F.coalesce(F.col(c) == F.lit(label), F.lit(False)).cast("int")
-    return df.withColumns(new).drop(*columns)
-
-
-def fit_encoder(df: DataFrame, numeric: list[str], labels: list[str]) -> PipelineModel:
-    """Labels indexed and one-hot encoded without their first value, assembled with the numbers.
-
-    Fitted on the whole table, so that both sides of a split know every label.
-    Columns with a single label carry no information and are left out. Null
-    labels must be filled before (see ``fill_first_label``).
-    """
-    ends = df.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in labels for f in (F.min, F.max)]).first()
-    used = [c for c in labels if ends[f"min_{c}"] != ends[f"max_{c}"]]
-    stages = []
-    if used:
-        stages = [
-            StringIndexer(inputCols=used, outputCols=[f"{c}_ix" for c in used],
-                          stringOrderType="alphabetDesc"),
-            OneHotEncoder(inputCols=[f"{c}_ix" for c in used],
-                          outputCols=[f"{c}_hot" for c in used], dropLast=True)]
-    stages.append(VectorAssembler(inputCols=numeric + [f"{c}_hot" for c in used], outputCol="features"))
-    return Pipeline(stages=stages).fit(df)
-
-
-def fill_first_label(df: DataFrame, labels: list[str]) -> DataFrame:
-    """Null labels become the alphabetically first one, whose one-hot code is all zeros too."""
-    first = df.agg(*[F.min(c).alias(c) for c in labels]).first()
-    return df.na.fill({c: first[c] for c in labels if first[c] is not None})
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = pairs.select("p.*").where("label is not null").distinct()
+    # written, because numbers and offsets must come from the same partitions
+    numbered = stage(distinct.repartitionByRange(tasks, "name", "label").sortWithinPartitions("name", "label")
+                     .withColumn("id", F.monotonically_increasing_id()), "labels") \
+        .withColumn("part", F.shiftright("id", 33))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    offsets = numbered.groupBy("part").agg(F.count("*").alias("n")).select(
+        "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    place = F.col("offset") + F.col("id").bitwiseAND(F.lit(IN_PARTITION))
+    placed = numbered.join(F.broadcast(offsets), "part").select("name", "label", place.alias("place"))
+    starts = placed.groupBy("name").agg(F.min("place").alias("start"), F.count("*").alias("n_labels"))
+    return placed.join(F.broadcast(starts), "name").select(
+        "name", "label", (F.col("place") - F.col("start")).alias("place"), "n_labels")
+
+
+def one_hot(df: DataFrame, labels: dict[str, list[str]]) -> DataFrame:
+    """Replace each column by a 0/1 column for each of the labels given; null and other labels are all 0."""
+    new = {f"{c}_{label}": F.coalesce(F.col(c).cast("string") == F.lit(label), F.lit(False)).cast("int")
+           for c, wanted in labels.items() for label in wanted}
+    return df.withColumns(new).drop(*labels)
+
+
+@dataclass
+class Encoder:
+    """Numbers and one-hot labels as one vector. The alphabetically first label of a column is all zeros, and so
+    are null and unknown labels; unknown and infinite numbers are 0. Labels stand from the last to the second."""
+    numbers: list[str]
+    sizes: dict[str, int]  # labels of each encoded column
+    dictionary: DataFrame
+
+    def transform(self, df: DataFrame, out: str = "features") -> DataFrame:
+        """``df`` with the numbers filled and the vector ``out``."""
+        spark = df.sparkSession
+        rows = fill_feature_matrix(df, self.numbers)
+        if not self.sizes:
+            return VectorAssembler(inputCols=self.numbers, outputCol=out).transform(rows)
+        for c, n in self.sizes.items():
+            known = self.dictionary.where(F.col("name") == c).select(
+                F.col("label").alias(f"{c}_label"), (n - 1 - F.col("place")).cast("double").alias(f"{c}_ix"))
+            rows = rows.join(F.broadcast(known) if n <= BROADCAST_ROWS else known,
+                             F.col(c).cast("string") == F.col(f"{c}_label"), "left").drop(f"{c}_label")
+        indices = [f"{c}_ix" for c in self.sizes]
+        rows = rows.na.fill({f"{c}_ix": float(n - 1) for c, n in self.sizes.items()})
+        # the encoder's sizes come from one row of greatest indices, not from a pass over the data
+        ends = spark.createDataFrame([tuple(float(n - 1) for n in self.sizes.values())],
+                                     ", ".join(f"`{i}` double" for i in indices))
+        hot = OneHotEncoder(inputCols=indices, outputCols=[f"{c}_hot" for c in self.sizes], dropLast=True).fit(ends)
+        vector = VectorAssembler(inputCols=[*self.numbers, *(f"{c}_hot" for c in self.sizes)], outputCol=out)
+        return vector.transform(hot.transform(rows)).drop(*indices, *(f"{c}_hot" for c in self.sizes))
+
+    @property
+    def width(self) -> int:
+        return len(self.numbers) + sum(n - 1 for n in self.sizes.values())
+
+    def save(self, path: str) -> None:
+        """The dictionary, and a row with the order of the columns."""
+        spark = self.dictionary.sparkSession
+        self.dictionary.write.mode("overwrite").parquet(f"{path}/dictionary")
+        order = json.dumps({"numbers": self.numbers, "sizes": list(self.sizes.items())})
+        spark.createDataFrame([(order,)], "columns string").write.mode("overwrite").parquet(f"{path}/columns")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Encoder:
+        order = json.loads(spark.read.parquet(f"{path}/columns").first()["columns"])
+        return Encoder(order["numbers"], dict(order["sizes"]), spark.read.parquet(f"{path}/dictionary"))
+
+
+def fit_encoder(df: DataFrame, numbers: list[str], labels: list[str]) -> Encoder:
+    """An encoder that knows every label of ``df``; columns with a single label carry no information and are left
+    out. Fitted on the whole table, so that both sides of a split know every label."""
+    if not labels:
+        return Encoder(numbers, {}, df.sparkSession.createDataFrame(
+            [], "name string, label string, place bigint, n_labels bigint"))
+    dictionary = stage(label_dictionary(df, labels), "dictionary")
+    counts = {r["name"]: r["n_labels"] for r in dictionary.select("name", "n_labels").distinct().collect()}
+    return Encoder(numbers, {c: counts[c] for c in labels if counts.get(c, 0) > 1}, dictionary)
 
 
 def fit_scaler(train: DataFrame, vector: str = "features", out: str = "scaled") -> PipelineModel:

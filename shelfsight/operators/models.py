@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Estimator
+from dataclasses import dataclass
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
 from ..functions.quantiles import quantile_bounds, quantile_table
+from .linear import MAX_WIDTH, LinearFit, fit_linear
 
 TARGET = "qty_next_month"
+# The columns that the models of the analysis are given.
 FEATURES = [
     "avg_price", "avg_mrp", "promo_days", "stockout_days", "revenue",
     "holiday_days", "weekend_days", "festive_days", "summer_days", "monsoon_days",
@@ -27,8 +30,16 @@ CLASS_FEATURES = ["avg_price", "promo_intensity", "holiday_days", "festive_days"
 CLASSES = ["LOW", "MEDIUM", "HIGH"]
 
 
-def linear_regression(features: str = "scaled") -> LinearRegression:
-    return LinearRegression(featuresCol=features, labelCol=TARGET, regParam=0.0)
+@dataclass
+class LeastSquares:
+    """Linear regression by moment matrices; beyond MAX_WIDTH features, by Spark's iterative solver."""
+    width: int
+    features: str = "scaled"
+
+    def fit(self, df: DataFrame) -> LinearFit:
+        if self.width <= MAX_WIDTH:
+            return fit_linear(df, self.features, TARGET, self.width)
+        return LinearRegression(featuresCol=self.features, labelCol=TARGET, regParam=0.0, solver="l-bfgs").fit(df)
 
 
 def random_forest(features: str = "features", trees: int = 220, depth: int = 10,
@@ -52,9 +63,13 @@ def sales_forest(trees: int = 220, depth: int = 10, seed: int = 42) -> RandomFor
         featureSubsetStrategy="sqrt", maxMemoryInMB=1024)
 
 
-def regressors(trees: int = 220, depth: int = 10, stages: int = 100, seed: int = 42) -> dict[str, Estimator]:
+REGRESSORS = ["LinearRegression", "RandomForestRegressor", "GradientBoostingRegressor"]
+
+
+def regressors(width: int, trees: int = 220, depth: int = 10, stages: int = 100, seed: int = 42) -> dict:
+    """What has a ``fit``, by name; ``width`` is the length of the feature vector."""
     return {
-        "LinearRegression": linear_regression(),
+        "LinearRegression": LeastSquares(width),
         "RandomForestRegressor": random_forest(trees=trees, depth=depth, seed=seed),
         "GradientBoostingRegressor": gradient_boosting(stages=stages, seed=seed),
     }

@@ -9,16 +9,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.ml import Estimator
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip
 from .cleaning import present
 from .eda import series_rank
+from .linear import LinearFit, fit_linear, moments, ridge_fits, unfold
 from .models import regression_metrics
 from .monthly import SERIES, total
 from .sampling import series_holdout
@@ -107,47 +105,58 @@ def _top_series(monthly: DataFrame, top_n: int | None) -> DataFrame:
     return monthly.join(F.broadcast(best), SERIES, "left_semi")
 
 
-def seasonal_regression_backtest(monthly: DataFrame, months: int = 3, min_rows: int = 18,
-                                 harmonics: int = 3, ridge: float = 1.0,
-                                 top_n: int | None = None) -> DataFrame:
-    """RMSE of trend + yearly Fourier terms + regressors on the last rows of each series.
+FIT = "level double, beta array<double>, mean array<double>, sd array<double>, RMSE double"
 
-    A ridge regression per series; a series with an unknown regressor cannot be
-    fitted and says so in ``status``.
+
+def seasonal_fits(monthly: DataFrame, months: int = 3, min_rows: int = 18, harmonics: int = 3, ridge: float = 1.0,
+                  top_n: int | None = None) -> DataFrame:
+    """Trend + yearly Fourier terms + regressors of each series: (n_train, status, level, beta, mean, sd, RMSE).
+
+    A ridge regression on standardized terms per series. A series becomes sums of products in the partitions of
+    the hold-out's window, and the systems of a whole batch of series are solved as one stack. A series with an
+    unknown regressor cannot be fitted and says so in ``status``.
     """
-    # a fixed partition count keeps AQE from merging small but compute-heavy partitions
-    tasks = int(monthly.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held = series_holdout(_top_series(monthly, top_n).repartition(tasks, *SERIES), months, min_rows)
-    fields = ["t", "month", "is_validation", "qty", *REGRESSORS]
-    # one row per series: its months in order, flattened, so a batch is a few thousand arrays
-    by_series = held.groupBy(*SERIES).agg(F.flatten(F.sort_array(F.collect_list(
-        F.array(*[F.col(c).cast("double") for c in fields])))).alias("months"))
-    waves = np.arange(1, harmonics + 1) * 2 * np.pi / 12
-
-    def backtest(months: np.ndarray) -> tuple[int, float | None, str]:
-        m = np.asarray(months, dtype=float).reshape(-1, len(fields))
-        train, y = m[:, 2] == 0, m[:, 3]
-        n_train = int(train.sum())
-        if np.isnan(m).any():
-            return n_train, None, "missing regressor"
-        angle = np.outer(m[:, 1], waves)
-        x = np.column_stack([m[:, 0] / len(m), np.sin(angle), np.cos(angle), m[:, 4:]])
-        spread = x[train].std(axis=0)
-        x = (x - x[train].mean(axis=0)) / np.where(spread > 0, spread, 1.0)
-        level = y[train].mean()
-        a = x[train].T @ x[train] + ridge * np.eye(x.shape[1])
-        beta = np.linalg.solve(a, x[train].T @ (y[train] - level))
-        error = y[~train] - (level + x[~train] @ beta)
-        return n_train, float(np.sqrt(np.mean(error ** 2))), "ok"
-
-    def backtest_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            scores = pd.DataFrame([backtest(v) for v in pdf["months"]], index=pdf.index,
-                                  columns=["n_train", "RMSE", "status"])
-            yield pd.concat([pdf[SERIES], scores], axis=1)
-
-    return by_series.mapInPandas(
-        backtest_all, "shop_id long, item_id long, n_train int, RMSE double, status string")
+    held = series_holdout(_top_series(monthly, top_n), months, min_rows)
+    angle = F.col("month") * F.lit(2 * np.pi / 12)
+    xs = [F.col("t") / F.col("n_rows"), *[wave(angle * F.lit(k)) for wave in (F.sin, F.cos)
+                                          for k in range(1, harmonics + 1)],
+          *[F.col(c).cast("double") for c in REGRESSORS]]
+    missing = F.greatest(*[F.col(c).isNull() for c in [*REGRESSORS, "qty"]])
+    y = F.col("qty").cast("double")
+    sums = held.groupBy(*SERIES).agg(
+        *moments(xs, y, ~F.col("is_validation")), F.max(missing).alias("missing"),
+        F.flatten(F.collect_list(F.when(F.col("is_validation"), F.array(*xs, y)))).alias("held"))
+    width = len(xs) + 2
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            good = ~batch.column("missing").to_numpy(zero_copy_only=False)
+            known = batch.filter(pa.array(good))
+            s = known.column("s").flatten().to_numpy(zero_copy_only=False).reshape(known.num_rows, width * (width + 1) // 2)
+            level, beta, mean, sd = ridge_fits(unfold(s, width), ridge)
+            out = known.column("held").flatten().to_numpy(zero_copy_only=False).reshape(known.num_rows, months, width - 1)
+            z = (out[:, :, :-1] - mean[:, None]) / np.where(sd > 0, sd, 1)[:, None]
+            error = out[:, :, -1] - (level[:, None] + np.einsum("gmx,gx->gm", z, beta))
+            place = np.full(n, -1)
+            place[good] = np.arange(known.num_rows)
+            at = pa.array(place, mask=~good)
+            found = [pa.array(level), *(pa.array(list(v), pa.list_(pa.float64())) for v in (beta, mean, sd)),
+                     pa.array(np.sqrt((error ** 2).mean(axis=1)))]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in SERIES), batch.column("n").cast(pa.int32()),
+                 pa.array(np.where(good, "ok", "missing regressor")), *(f.take(at) for f in found)],
+                [*SERIES, "n_train", "status", "level", "beta", "mean", "sd", "RMSE"])
+
+    keys = ", ".join(f"{c} {dict(monthly.dtypes)[c]}" for c in SERIES)
+    return sums.mapInArrow(fit, f"{keys}, n_train int, status string, {FIT}")
+
+
+def seasonal_regression_backtest(monthly: DataFrame, months: int = 3, min_rows: int = 18, harmonics: int = 3,
+                                 ridge: float = 1.0, top_n: int | None = None) -> DataFrame:
+    """RMSE of the seasonal regression on the last rows of each series."""
+    return seasonal_fits(monthly, months, min_rows, harmonics, ridge, top_n).select(
+        *SERIES, "n_train", "RMSE", "status")
 
 
 def total_series(monthly: DataFrame) -> DataFrame:
@@ -173,20 +182,25 @@ def sequence_frames(df: DataFrame, keys: list[str] = (), lookback: int = 12) ->
             .where(F.size("lags") == lookback))
 
 
-def sequence_regression(df: DataFrame, keys: list[str] = (), lookback: int = 12, months: int = 3,
-                        estimator: Estimator | None = None) -> DataFrame:
-    """Metrics of next-value prediction from lag windows, on the last windows of each series.
-
-    One pooled model over all series; errors are measured in the original unit.
-    """
+def sequence_model(df: DataFrame, keys: list[str] = (), lookback: int = 12, months: int = 3
+                   ) -> tuple[LinearFit, DataFrame]:
+    """One pooled linear model of the next scaled value on the lags before it, over all series, and the frames with
+    ``is_validation`` for the last windows of each series."""
     newest_first = Window.partitionBy(*keys).orderBy(F.desc("year_month"))
     frames = (sequence_frames(df, keys, lookback)
-              .withColumn("is_validation", F.row_number().over(newest_first) <= months)
-              .withColumn("features", array_to_vector("lags")))
-    model = (estimator or LinearRegression(regParam=0.0)).setLabelCol("scaled").fit(
-        frames.where(~F.col("is_validation")))
+              .withColumn("is_validation", F.row_number().over(newest_first) <= months))
+    return fit_linear(frames.where(~F.col("is_validation")), "lags", "scaled", lookback), frames
+
+
+def sequence_scores(model: LinearFit, frames: DataFrame) -> DataFrame:
+    """Metrics of the validation windows in the original unit."""
     size = F.col("hi") - F.col("lo") + 1e-6
     scored = model.transform(frames.where("is_validation")).select(
         (F.col("scaled") * size + F.col("lo")).alias("actual"),
         (F.col("prediction") * size + F.col("lo")).alias("predicted"))
     return regression_metrics(scored, "actual", "predicted")
+
+
+def sequence_regression(df: DataFrame, keys: list[str] = (), lookback: int = 12, months: int = 3) -> DataFrame:
+    """Metrics of next-value prediction from lag windows, on the last windows of each series."""
+    return sequence_scores(*sequence_model(df, keys, lookback, months))

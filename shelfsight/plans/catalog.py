@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache, reduce
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +20,8 @@ from ..operators import series as S
 from ..operators.anomaly import isolation_forest, top_anomalies
 from ..sources.readers import read_csv_table, table_profile, typed
 from ..sources.staging import stage, staging_path
-from ..sources.testbed import retail_tables
+from ..sources.testbed import SOURCES, retail_tables
+from ..sources.store import stored_model
 from ..sources.writers import write_csv
 from . import features as P
 from . import forecasting as L
@@ -28,7 +29,10 @@ from . import forecasting as L
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 GRAIN = M.GRAIN
-DUMMY_COLUMNS = ["shop_region", "store_type", "item_category_name"]
+# wide columns are for labels that the caller names; the first of each column is left out
+DUMMY_LABELS = {"shop_region": ["AMERICA", "ASIA", "EUROPE", "MIDDLE EAST", "Unknown"],
+                "store_type": ["Supermarket", "Unknown"],
+                "item_category_name": [f"Category {i}" for i in range(1, 8)]}
 SCALED_COLUMNS = ["qty", "avg_price", "revenue", "avg_on_hand", "qty_roll_3", "store_size_sqft"]
 TREES = 220  # forests of the registered queries
 DEPTH = 10  # Spark keeps trees on the driver: 2 ** depth nodes each bound them, whatever the rows
@@ -357,9 +361,14 @@ def series_holdout(m):
     return A.series_holdout(m).select(*GRAIN, "t", "n_rows", "is_validation")
 
 
-@staged_query([*GRAIN, *DUMMY_COLUMNS])
+@staged_query([*GRAIN, *DUMMY_LABELS])
 def one_hot(m):
-    return N.one_hot(m, DUMMY_COLUMNS)
+    return N.one_hot(m, DUMMY_LABELS)
+
+
+@staged_query(R.LABELS)
+def label_dictionary(m):
+    return N.label_dictionary(m, R.LABELS)
 
 
 @staged_query([*GRAIN, *SCALED_COLUMNS], 6)
@@ -489,33 +498,36 @@ def inventory_plan(t):
 
 
 # --- fitted models ----------------------------------------------------------
-# One preparation and one fit of each model per session and folder, as in one run of the analysis.
+# Every query prepares its rows and fits its linear model itself. Forests are fitted by the first query that needs
+# them and stored below the shared folder, under a fingerprint of the input files and parameters; others reload them.
 
-@lru_cache(maxsize=4)
-def _prepared(app_id: str, spark: SparkSession, sf_dir: str) -> L.Prepared:
+def _prepared(spark: SparkSession, sf_dir: str) -> L.Prepared:
     return L.prepare(P.monthly_features(retail_tables(spark, sf_dir)))
 
 
-@lru_cache(maxsize=16)
-def _fitted(app_id: str, spark: SparkSession, sf_dir: str, name: str):
-    return L.fit_models(_prepared(app_id, spark, sf_dir), [name], trees=TREES, depth=DEPTH)[name]
+def _fitted(spark: SparkSession, sf_dir: str, prepared: L.Prepared, name: str) -> L.Fitted:
+    def fit() -> L.Fitted:
+        return L.fit_models(prepared, [name], trees=TREES, depth=DEPTH)[name]
+
+    if name == "LinearRegression":
+        return fit()
+    return stored_model(spark, [f"{sf_dir}/{t}.parquet" for t in SOURCES], f"{name}-{TREES}-{DEPTH}", fit)
 
 
-def _models(spark: SparkSession, sf_dir: str):
-    app = spark.sparkContext.applicationId
-    return _prepared(app, spark, sf_dir), {n: _fitted(app, spark, sf_dir, n) for n in R.regressors()}
+def _models(spark: SparkSession, sf_dir: str) -> tuple[L.Prepared, dict[str, L.Fitted]]:
+    prepared = _prepared(spark, sf_dir)
+    return prepared, {n: _fitted(spark, sf_dir, prepared, n) for n in R.REGRESSORS}
 
 
-def _validation_query(key: str, name: str) -> None:
+def _validation_query(key: str, name: str, digits: int = 6) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        app = spark.sparkContext.applicationId
-        prepared = _prepared(app, spark, sf_dir)
-        scored = _fitted(app, spark, sf_dir, name).transform(prepared.validation)
-        return tidy(scored.select(*GRAIN, R.TARGET, "prediction"), 6)
+        prepared = _prepared(spark, sf_dir)
+        scored = _fitted(spark, sf_dir, prepared, name).transform(prepared.validation)
+        return tidy(scored.select(*GRAIN, R.TARGET, "prediction"), digits)
     QUERIES[key] = run
 
 
-_validation_query("linear_regression", "LinearRegression")
+_validation_query("linear_regression", "LinearRegression", 4)
 _validation_query("random_forest_reg", "RandomForestRegressor")
 _validation_query("gradient_boosting", "GradientBoostingRegressor")
 
@@ -563,9 +575,8 @@ def regressors_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def linear_regression_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training rows and the mean residual, which is 0 for least squares with an intercept."""
-    app = spark.sparkContext.applicationId
-    train = _prepared(app, spark, sf_dir).train
-    scored = _fitted(app, spark, sf_dir, "LinearRegression").transform(train)
+    prepared = _prepared(spark, sf_dir)
+    scored = _fitted(spark, sf_dir, prepared, "LinearRegression").transform(prepared.train)
     residual = F.col(R.TARGET) - F.col("prediction")
     return tidy(scored.agg(F.count("*").alias("n_train"), F.avg(residual).alias("mean_residual")), 4)
 

@@ -8,8 +8,23 @@ from __future__ import annotations
 
 import re
 
-from ..operators.eda import CORRELATION_COLUMNS
-from ..operators.models import FEATURES
+# Fixed values, spelled out here so that the code under test is not asked for them.
+CORRELATION_COLUMNS = [
+    "qty", "avg_price", "avg_mrp", "promo_days", "stockout_days", "revenue", "holiday_days", "weekend_days",
+    "festive_days", "summer_days", "monsoon_days", "promo_discount_pct", "promo_uplift", "avg_on_hand",
+    "avg_reorder_point", "avg_lead_time", "price_ratio", "price_discount_pct", "qty_lag_1", "qty_lag_2",
+    "qty_lag_3", "qty_roll_3", "qty_roll_6", "price_change_pct", "qty_trend", "promo_intensity", "qty_next_month",
+]
+FEATURES = [
+    "avg_price", "avg_mrp", "promo_days", "stockout_days", "revenue", "holiday_days", "weekend_days",
+    "festive_days", "summer_days", "monsoon_days", "promo_discount_pct", "promo_uplift", "promo_campaigns",
+    "avg_on_hand", "avg_reorder_point", "avg_lead_time", "inv_snapshots", "price_ratio", "price_discount_pct",
+    "price_change_pct", "qty_lag_1", "qty_lag_2", "qty_lag_3", "qty_roll_3", "qty_roll_6", "qty_trend",
+    "promo_intensity", "store_size_sqft",
+]
+LABELS = [
+    "shop_city", "shop_state", "shop_region", "store_type", "brand", "tier", "item_category_name",
+]
 
 GRAIN = "year_month, shop_id, item_id"
 SERIES = "shop_id, item_id"
@@ -326,6 +341,125 @@ def _one_hot_sql() -> str:
     return f"select {GRAIN}, {dummies} from m"
 
 
+def _solved(equations: str) -> str:
+    """(k, beta) by Gauss-Jordan elimination of the rows of ``equations`` (columns r, a list of k coefficients and
+    the right side, and k); an unknown that depends on those before it gets 0. Extra key columns: see _solved_by."""
+    return _solved_by("", equations)
+
+
+def _solved_by(keys: str, equations: str) -> str:
+    lead = f"{keys}, " if keys else ""
+    return f"""(
+        with recursive e as (
+          select {lead}1 as step, list(r order by k) as m from {equations} {f'group by {keys}' if keys else ''}
+          union all
+          select {lead}step + 1, case when abs(m[step][step]) < 1e-9 then m else
+            [case when i = step then [v / m[step][step] for v in m[step]]
+                  else [m[i][j] - m[i][step] / m[step][step] * m[step][j] for j in range(1, len(m) + 2)] end
+             for i in range(1, len(m) + 1)] end
+          from e where step <= len(m))
+        select {lead}k, case when abs(m[k][k]) < 1e-9 then 0 else m[k][len(m) + 1] end as beta
+        from (select *, unnest(range(1, len(m) + 1)) as k from e where step = len(m) + 1))"""
+
+
+def _least_squares_sql(rows: str, entries: str) -> str:
+    """(id, p): least squares of y on the entries (id, j, v; absent ones are 0), fitted on rows (id, held, y) that
+    are not held and applied to those that are."""
+    return f"""(
+        with rw as ({rows}), en as ({entries}),
+        total as (select count(*) as n, avg(y) as level from rw where not held),
+        used as (select id, j, v, y from en join rw using (id) where not held),
+        prod as (select a.j as i, b.j as j, sum(a.v * b.v) as s from used a join used b using (id) group by 1, 2),
+        mean as (select j, sum(v) / any_value(n) as mu, sum(v * (y - level)) / any_value(n) as xy
+                 from used, total group by j),
+        kept as (select *, row_number() over (order by j) as k from (
+                   select mean.*, sqrt(greatest(s / n - mu * mu, 0)) as sd
+                   from mean join prod on prod.i = mean.j and prod.j = mean.j, total
+                   where s / n - mu * mu > 1e-13 * mu * mu)),
+        system as (
+          select a.k, list((coalesce(s, 0) / n - a.mu * b.mu) / (a.sd * b.sd) order by b.k)
+                   || [any_value(a.xy / a.sd)] as r
+          from kept a cross join kept b left join prod on prod.i = a.j and prod.j = b.j, total group by a.k),
+        beta as (select j, mu, beta / sd as slope from {_solved('system')} join kept using (k)),
+        base as (select (select level from total) - coalesce(sum(slope * mu), 0) as start from beta)
+        select rw.id, any_value(start) + coalesce(sum(slope * v), 0) as p
+        from rw left join en using (id) left join beta using (j), base where held group by rw.id)"""
+
+
+def _linear_regression_sql() -> str:
+    numbers = ", ".join(f"coalesce({c}::double, 0)" for c in FEATURES)
+    pairs = ", ".join(f"{{'name': '{c}', 'label': {c}}}" for c in LABELS)
+    known = f"(select unnest([{pairs}], recursive := true) from m)"
+    source = f"(select *, concat_ws('|', {GRAIN}) as id from m)"
+    rows = f"""select id, year_month >= first_month as held, qty_next_month as y from {source}, split_month"""
+    entries = f"""
+        select id, j, v from (select id, unnest([{numbers}]) as v, unnest(range(1, {len(FEATURES) + 1})) as j
+                              from {source}) where v <> 0
+        union all
+        select id, {len(FEATURES)} + j as j, 1.0::double as v
+        from (select id, unnest([{pairs}], recursive := true) from {source}) join (
+          select name, label, row_number() over (order by name, label) as j from (
+            select distinct name, label from {known} where label is not null)
+          qualify row_number() over (partition by name order by label) > 1) using (name, label)"""
+    return f"""
+        select {GRAIN}, qty_next_month, {rnd('p', 'prediction', 4)}
+        from {source} join {_least_squares_sql(rows, entries)} using (id)"""
+
+
+def _sequence_regression_sql(source: str, key: str, partition: str) -> str:
+    lags = ", ".join(f"lag(scaled, {13 - i}) over w" for i in range(1, 13))
+    frames = f"""(
+        select *, row_number() over ({partition} order by year_month desc) <= 3 as held from (
+          select *, [{lags}] as x, concat_ws('|', {key}) as id from (
+            select *, (qty - lo) / (hi - lo + 1e-6) as scaled from (
+              select *, min(qty) over ({partition}) as lo, max(qty) over ({partition}) as hi from {source}))
+          window w as ({partition} order by year_month))
+        where x[1] is not null)"""
+    entries = f"select id, unnest(x) as v, unnest(range(1, 13)) as j from {frames}"
+    fitted = _least_squares_sql(f"select id, held, scaled as y from {frames}", entries)
+    return f"""
+        select {rnd('sqrt(avg(e * e))', 'RMSE')}, {rnd('avg(abs(e))', 'MAE')},
+          {rnd('avg(abs(e / case when abs(y) < 1e-6 then 1 else abs(y) end)) * 100', '"MAPE_%"')}
+        from (select scaled * (hi - lo + 1e-6) + lo as y, (scaled - p) * (hi - lo + 1e-6) as e
+              from {frames} join {fitted} using (id))"""
+
+
+def _seasonal_sql() -> str:
+    regressors = ["price_ratio", "promo_intensity", "festive_days", "holiday_days", "stockout_days"]
+    waves = ", ".join(f"{f}(month * {k} * pi() / 6)" for f in ("sin", "cos") for k in (1, 2, 3))
+    xs = f"[t / n_rows, {waves}, " + ", ".join(f"{c}::double" for c in regressors) + "]"
+    rows = f"""(
+        select {SERIES}, t, n_rows, t > n_rows - 3 as held, qty::double as y, {xs} as x,
+          max(({' or '.join(f'{c} is null' for c in regressors)})::int) over (partition by {SERIES}) as gap
+        from holdout join m using ({GRAIN}, qty))"""
+    return f"""
+        with s as (select * from {rows}),
+        l as (select {SERIES}, t, held, y, unnest(x) as v, unnest(range(1, len(x) + 1)) as j from s where gap = 0),
+        st as (select {SERIES}, j, avg(v) as mu, stddev_pop(v) as sd, avg(y) as level from l where not held group by all),
+        z as (select {SERIES}, j, t, held, y - level as d,
+                case when sd * sd > 1e-13 * mu * mu then (v - mu) / sd else 0 end as z from l join st using ({SERIES}, j)),
+        a as (select {SERIES}, a.j as i, b.j as j, sum(a.z * b.z) + (a.j = b.j)::int as v
+              from z a join z b using ({SERIES}, t) where not a.held group by {SERIES}, a.j, b.j),
+        b as (select {SERIES}, j as i, sum(z * d) as v from z where not held group by all),
+        eq as (select {SERIES}, i as k, list(a.v order by a.j) || [any_value(b.v)] as r
+               from a join b using ({SERIES}, i) group by {SERIES}, i),
+        beta as (select {SERIES}, k as j, beta from {_solved_by(SERIES, 'eq')}),
+        er as (select {SERIES}, t, any_value(d) - sum(z * beta) as e from z join beta using ({SERIES}, j)
+               where held group by {SERIES}, t),
+        rm as (select {SERIES}, sqrt(avg(e * e)) as e from er group by {SERIES})
+        select {SERIES}, (max(n_rows) - 3)::bigint as n_train, {rnd('any_value(e)', 'RMSE')},
+          case when max(gap) = 1 then 'missing regressor' else 'ok' end as status
+        from s left join rm using ({SERIES}) group by {SERIES}"""
+
+
+def _label_dictionary_sql() -> str:
+    pairs = ", ".join(f"{{'name': '{c}', 'label': {c}}}" for c in LABELS)
+    return f"""
+        select name, label, row_number() over (partition by name order by label) - 1 as place,
+          count(*) over (partition by name) as n_labels
+        from (select distinct * from (select unnest([{pairs}], recursive := true) from m) where label is not null)"""
+
+
 def _quantile_sql() -> str:
     return " union all ".join(
         f"select '{c}' as column_name, {q}::double as q, round(quantile_cont({c}, {q}), 4) as value from v_sales"
@@ -478,6 +612,11 @@ FINALS: dict[str, str] = {
         select {GRAIN}, t::bigint as t, n_rows::bigint as n_rows, (t > n_rows - 3)::int::bigint as is_validation
         from holdout""",
     "one_hot": _one_hot_sql(),
+    "label_dictionary": _label_dictionary_sql(),
+    "linear_regression": _linear_regression_sql(),
+    "sequence_regression": _sequence_regression_sql("m", GRAIN, f"partition by {SERIES}"),
+    "sequence_regression_total": _sequence_regression_sql("tot", "year_month", ""),
+    "seasonal_regression_backtest": f"select * from ({_seasonal_sql()})",
     "standard_scale": _standard_scale_sql(),
     "fill_feature_matrix": f"select {GRAIN}, " + ", ".join(
         rnd(f"coalesce({c}::double, 0)", c) for c in FEATURES) + " from m",

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import decisions as D
 from ..operators import series as S
-from ..operators.anomaly import isolation_forest, top_anomalies
+from ..operators.anomaly import fit_isolation_forest, top_anomalies
+from ..operators.linear import LinearFit
 from ..operators.models import confusion_matrix, classification_report
 from ..operators.monthly import GRAIN
 from ..sources.staging import stage
@@ -25,18 +26,25 @@ def write_reports(raw: dict[str, DataFrame], out: str, top_series: int | None =
 
     prepared = M.prepare(features)
     models = M.fit_models(prepared, **model_params)
+    prepared.encoder.save(f"{out}/encoder")
     save_model(prepared.scaler, f"{out}/scaler")
     for name, model in models.items():
-        save_model(model, f"{out}/model_{name}")
+        if isinstance(model, LinearFit):
+            model.save(features.sparkSession, f"{out}/model_{name}")
+        else:
+            save_model(model, f"{out}/model_{name}")
     write_csv(M.validation_scores(prepared, models), f"{out}/model_comparison_regression")
 
     arima = S.arima_backtest(features, top_n=top_series).orderBy("RMSE", "shop_id", "item_id")
     write_csv(arima.select("shop_id", "item_id", "RMSE"), f"{out}/model_comparison_arima_top_series")
     write_parquet(arima, f"{out}/arima_parameters")
-    seasonal = S.seasonal_regression_backtest(features, top_n=top_series)
+    seasonal = stage(S.seasonal_fits(features, top_n=top_series), "seasonal")
+    write_parquet(seasonal, f"{out}/seasonal_coefficients")
     write_csv(seasonal.where("status = 'ok'").select("shop_id", "item_id", "RMSE")
               .orderBy("RMSE", "shop_id", "item_id"), f"{out}/model_comparison_seasonal_top_series")
-    write_csv(S.sequence_regression(S.total_series(features)), f"{out}/model_comparison_total_series")
+    sequence, frames = S.sequence_model(stage(S.total_series(features), "total-series"))
+    sequence.save(features.sparkSession, f"{out}/model_sequence")
+    write_csv(S.sequence_scores(sequence, frames), f"{out}/model_comparison_total_series")
 
     predicted = stage(M.forecast_next(prepared, M.best_model(prepared, models)[1]), "forecast")
     forecast = D.describe_forecast(predicted, t["items"], t["shops"])
@@ -52,12 +60,16 @@ def write_reports(raw: dict[str, DataFrame], out: str, top_series: int | None =
     forest_params = {k: v for k, v in model_params.items() if k in ("trees", "depth", "seed")}
     classifier, scored = M.classify(features, **forest_params)
     scored = stage(scored, "class-predictions")
-    save_model(classifier, f"{out}/model_sales_classes")
+    classifier.encoder.save(f"{out}/encoder_sales_classes")
+    save_model(classifier.model, f"{out}/model_sales_classes")
     write_csv(confusion_matrix(scored, "sales_class", "predicted_class"),
               f"{out}/classification_confusion_matrix")
     write_csv(classification_report(scored, "sales_class", "predicted_class"),
               f"{out}/classification_report")
 
-    anomalies = top_anomalies(isolation_forest(features))
+    forest, scored = fit_isolation_forest(features)
+    if forest is not None:
+        forest.save(f"{out}/model_isolation_forest")
+    anomalies = top_anomalies(scored)
     write_csv(features.join(anomalies.select(*GRAIN, "anomaly_score", "is_anomaly"), GRAIN)
               .orderBy("anomaly_score", *GRAIN), f"{out}/anomalies")

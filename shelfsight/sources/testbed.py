@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from .staging import spread
 
+SOURCES = ["region", "nation", "supplier", "part", "orders", "lineitem"]  # the test tables read here
+
 SALES = [
     "case when l_orderkey % 997 = 0 then 'not-a-date' else cast(cast(l_shipdate as date) as string) end as date",
     "case when l_orderkey % 503 = 0 then null when l_orderkey % 41 = 0 then -1 - l_suppkey"
