@@ -61,19 +61,103 @@ def test_repeated_strings_of_a_host_go(spark):
         assert shared not in got[i] and f"number {i} of" in got[i]
 
 
-def test_covered_tokens_equal_brute_force():
-    rng = np.random.default_rng(3)
-    for _ in range(40):
-        streams = [rng.integers(0, 3, rng.integers(0, 25)).astype(np.uint64) for _ in range(6)]
-        pages = rng.integers(0, 4, 6)
-        got = html_text.covered_tokens(streams, pages, 4)
-        where = {}
-        for k, s in enumerate(streams):
-            for i in range(len(s) - 3):
-                where.setdefault(tuple(s[i:i + 4]), set()).add(pages[k])
-        for s, inside in zip(streams, got):
-            want = np.zeros(len(s), bool)
-            for i in range(len(s) - 3):
-                if len(where[tuple(s[i:i + 4])]) > 1:
-                    want[i:i + 4] = True
-            assert (np.asarray(inside, bool) == want).all()
+def test_short_odd_and_named_pages(spark):
+    """Few words outside an article, names around an article, hidden, camel case, names that only look alike."""
+    rows = [(1, "http://a/", "<div>Hello world</div>"), (2, "http://b/", "one two three"),
+            (3, "http://c/", "<article><a href=x>see this</a></article>"),
+            (4, "http://d/", "<div class='page no-sidebar'><article>kept here</article></div>"),
+            (5, "http://e/", "<div class='has-share'><article>and here</article></div>"),
+            (6, "http://f/", "<div hidden>not this</div><div>but this</div>"),
+            (7, "http://g/", "<article>a<div class='userComments'>c</div><div class='share-price'>p</div>"
+                             "<div class=social-policy>q</div><div class=banner-image>r</div><div id=adBox2>s</div></article>"),
+            (8, "http://h/", "<div class=sidebar><article>teaser</article></div><article>main</article>"),
+            (9, "http://i/", "<div class='page sidebar'><article>only one</article></div>"),
+            (10, "http://j/", "<div class=comments><article>a reader</article></div><main>text</main>"),
+            (11, "http://k/", "<article>" + "<p>long words " * 60_000 + "</article>"), (12, "", "<p>x"), (None, "u", "<p>y")]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(table(spark, rows)).collect()}
+    assert got.pop(11) == " ".join(["long words"] * 60_000)
+    assert got == {1: "Hello world", 2: "one two three", 3: "see this", 4: "kept here", 5: "and here", 6: "but this",
+                   7: "a p q r", 8: "main", 9: "only one", 10: "text", 12: "x", None: "y"}
+
+
+def hosts(rng):
+    """Pages of hosts of several sizes, with and without articles, notices in articles and copies."""
+    words = ["w%d" % i for i in range(3000)]
+    prose = lambda n: " ".join(rng.choice(words, n))
+    rows = []
+    for h, (n, article) in enumerate([(1, False), (2, False), (3, False), (12, False), (12, True), (40, True), (40, False)]):
+        notice, top = prose(20), prose(9)
+        copied = prose(30)
+        for i in range(n):
+            own = copied if i % 5 == 4 else prose(int(rng.integers(5, 60)))
+            parts = [top] if not article else []
+            parts += [own, notice] if i % 4 else [own]
+            body = "".join(f"<p>{p}</p>" for p in parts)
+            rows.append((len(rows), f"http://host{h}/{i}", page(f"<article>{body}</article>" if article else body)))
+    return rows
+
+
+def by_brute_force(rows):
+    """The rule on all windows of all pages, without a choice among them."""
+    streams = {}
+    for i, u, h in rows:
+        blocks = html_text.blocks_of(h)
+        streams[i] = (u.split("/")[2], blocks, [w for b in blocks for w in b.text.split(" ")])
+    sizes, where = {}, {}
+    for i, (host, _, words) in streams.items():
+        sizes[host] = sizes.get(host, 0) + 1
+        for k in range(len(words) - 7):
+            where.setdefault((host, *words[k:k + 8]), set()).add(i)
+    out = {}
+    for i, (host, blocks, words) in streams.items():
+        copies = sum(s[2] == words and s[0] == host for s in streams.values())
+        free = [b.zone != "text" for b in blocks for _ in b.text.split(" ")]
+        gone = [False] * len(words)
+        for zone, mine, least in (("text", False, html_text.LONG), ("open", True, html_text.WIDTH)):
+            covered = [False] * len(words)
+            for k in range(len(words) - 7):
+                pages = len(where[(host, *words[k:k + 8])])
+                if pages - copies >= max(html_text.LEAST_PAGES[zone] - 1, html_text.LEAST_SHARE[zone] * (sizes[host] - copies)):
+                    covered[k:k + 8] = [True] * 8
+            k = 0
+            while k < len(words):
+                end = k
+                while end < len(words) and covered[end]:
+                    end += 1
+                if end - k >= least:
+                    first = 0
+                    for b in blocks:
+                        stop = first + len(b.text.split(" "))
+                        part = [j for j in range(first, stop) if k <= j < end]
+                        if len(part) >= least or len(part) == stop - first:
+                            for j in part:
+                                gone[j] |= free[j] == mine
+                        first = stop
+                k = max(end, k + 1)
+        out[i] = " ".join(w for w, g in zip(words, gone) if not g)
+    return out
+
+
+def test_extraction_equals_brute_force(spark):
+    rows = hosts(np.random.default_rng(8))
+    want = by_brute_force(rows)
+    plain = {i: " ".join(b.text for b in html_text.blocks_of(h)) for i, _, h in rows}
+    assert sum(want[i] != plain[i] for i in want) > 80 and sum(want[i] == plain[i] for i in want) > 3
+    for small_rows in (html_text.SMALL_ROWS, 10):  # names broadcast, and joined to each page
+        got = {r["page_id"]: r["text"] for r in
+               html_text.extract(table(spark, rows).repartition(3), small_rows=small_rows).collect()}
+        assert got == want
+
+
+def test_large_hosts_have_the_same_rule(spark):
+    """A notice on a quarter of 1,000 pages goes as it does on a quarter of 100; one on four pages stays on both."""
+    rng = np.random.default_rng(9)
+    words = ["w%d" % i for i in range(5000)]
+    for n in (100, 1000):
+        often, seldom = " ".join(rng.choice(words, 12)), " ".join(rng.choice(words, 12))
+        rows = [(i, f"http://h/{i}", page(f"<div>{' '.join(rng.choice(words, 30))}</div>"
+                                          + f"<div>{often}</div>" * (i % 4 == 0) + f"<div>{seldom}</div>" * (i < 4)))
+                for i in range(n)]
+        got = {r["page_id"]: r["text"] for r in html_text.extract(table(spark, rows).repartition(7)).collect()}
+        assert not any(often in t for t in got.values())
+        assert all(seldom in got[i] for i in range(4)) and all(len(t.split()) == 30 + 12 * (i < 4) for i, t in got.items())

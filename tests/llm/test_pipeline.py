@@ -28,7 +28,7 @@ def test_stages_keep_columns_and_only_take_rows_away(spark):
 def test_sql(spark, name):
     got = QUERIES[name](spark, SF_DIR)
     db = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         db.sql(f"create view {t} as select * from '{SF_DIR}/{t}.parquet'")
     names = sorted(got.columns)
     want = db.sql(f"select {', '.join(names)} from ({ORACLE_SQL[name]})").fetchall()
