@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite_or_null
@@ -82,42 +82,54 @@ def quantiles(df: DataFrame, wanted: dict[str, list[float]], decimals: int = 4)
     return asked.join(found, ["name", "q"], "left").withColumnRenamed("name", "column_name")
 
 
+MOMENTS = ["n", "mx", "my", "cxx", "cyy", "cxy"]  # rows, means, centred squares and products of a pair
+
+
 def correlation_matrix(df: DataFrame, columns: list[str] = CORRELATION_COLUMNS) -> DataFrame:
     """Pearson correlation of every pair of columns over the rows where both are known.
 
-    Each partition reduces to one table of pair moments by matrix products, so
-    the shuffle carries (number of columns)**2 rows per partition whatever the
-    data size. Values are centred first; a pair with a constant side gives null.
+    One pass: each task reduces its rows, by matrix products around a point near their own means, to the centred
+    moments of every pair; the shuffle carries (number of columns)**2 rows a task whatever the data size. Moments of
+    tasks are put together around the pair's overall means (Chan, Golub and LeVeque 1979), so large offsets cancel
+    nothing. A pair with a constant side gives null.
     """
     columns = present(df, columns)
     data = df.select(*[finite_or_null(F.col(c).cast("double")).alias(c) for c in columns])
-    centre = data.agg(*[F.avg(c).alias(c) for c in columns]).first()
-    shift = np.array([centre[c] or 0.0 for c in columns])
-
-    def pair_moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        k = len(shift)
-        n, sx, sxx, sxy = (np.zeros((k, k)) for _ in range(4))
-        for pdf in batches:
-            x = pdf.to_numpy(dtype=float) - shift
-            there = (~np.isnan(x)).astype(float)
-            x = np.nan_to_num(x)
-            n += there.T @ there
-            sx += x.T @ there
-            sxx += (x * x).T @ there
-            sxy += x.T @ x
-        i, j = (a.ravel() for a in np.indices((k, k)))
-        yield pd.DataFrame({"i": i, "j": j, "n": n.ravel(), "sx": sx.ravel(), "sy": sx.T.ravel(),
-                            "sxx": sxx.ravel(), "syy": sxx.T.ravel(), "sxy": sxy.ravel()})
-
-    sums = (data.mapInPandas(pair_moments, "i int, j int, n double, sx double, sy double, "
-                                           "sxx double, syy double, sxy double")
-            .groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]))
-    var_x = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
-    var_y = F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
-    varies = (var_x > 1e-12 * F.col("n") * F.col("sxx")) & (var_y > 1e-12 * F.col("n") * F.col("syy"))
-    r = (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(var_x * var_y)
-    names = F.array(*[F.lit(c) for c in columns])
-    return sums.select(
-        F.element_at(names, F.col("i") + 1).alias("feature_x"),
-        F.element_at(names, F.col("j") + 1).alias("feature_y"),
-        F.when(varies, r).alias("correlation"))
+    k = len(columns)
+
+    def pair_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shift, sums = None, np.zeros((4, k, k))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            there = ~np.isnan(x)
+            if shift is None:
+                shift = np.where(there, x, 0).sum(axis=0) / np.maximum(there.sum(axis=0), 1)
+            x, there = np.where(there, x - shift, 0.0), there.astype(float)
+            sums += np.stack([there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x])
+        if shift is None:
+            return
+        n, sx, sxx, sxy = sums
+        i, j = np.nonzero(n)
+        n, ax, ay = n[i, j], sx[i, j], sx[j, i]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(v) for v in (i, j, n, ax / n + shift[i], ay / n + shift[j], sxx[i, j] - ax * ax / n,
+                                   sxx[j, i] - ay * ay / n, sxy[i, j] - ax * ay / n)], ["i", "j", *MOMENTS])
+
+    parts = data.mapInArrow(pair_moments, "i long, j long, " + ", ".join(f"{m} double" for m in MOMENTS))
+    pair = Window.partitionBy("i", "j")  # one row a task
+    dx, dy = (F.col(m) - F.sum(F.col("n") * F.col(m)).over(pair) / F.sum("n").over(pair) for m in ("mx", "my"))
+    n = F.col("n")
+    sums = (parts.withColumns({"dx": dx, "dy": dy}).groupBy("i", "j").agg(
+        F.sum(F.col("cxx") + n * F.col("dx") * F.col("dx")).alias("sxx"),
+        F.sum(F.col("cyy") + n * F.col("dy") * F.col("dy")).alias("syy"),
+        F.sum(F.col("cxy") + n * F.col("dx") * F.col("dy")).alias("sxy"),
+        F.sum("n").alias("n"), F.max(F.abs("mx")).alias("mx"), F.max(F.abs("my")).alias("my")))
+    # what is left of a constant after rounding is far below the square of its size
+    varies = (F.col("sxx") > 1e-26 * n * F.col("mx") * F.col("mx")) & (F.col("syy") > 1e-26 * n * F.col("my") * F.col("my"))
+    r = F.try_divide(F.col("sxy"), F.sqrt(F.col("sxx") * F.col("syy")))
+    names = [(i, j, columns[i], columns[j]) for i in range(k) for j in range(k)]
+    cells = df.sparkSession.createDataFrame(names, "i long, j long, feature_x string, feature_y string")
+    return cells.join(sums, ["i", "j"], "left").select(
+        "feature_x", "feature_y", F.when(varies, r).alias("correlation"))

@@ -16,12 +16,25 @@ def missing_keys(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
 
 
 def fk_check(relations: list[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
-    """One row per (key, child, parent): how many distinct child keys dangle."""
-    return reduce(DataFrame.unionByName, [
-        missing_keys(child, parent, key)
-        .agg(F.count("*").alias("missing_keys"))
-        .select(F.lit(key).alias("foreign_key"), "missing_keys")
-        for key, child, parent in relations])
+    """One row per (key, child, parent): how many distinct child keys dangle. A child is read once for all its keys."""
+    children: list[tuple[DataFrame, list[int]]] = []
+    for place, (_, child, _) in enumerate(relations):
+        known = next((places for df, places in children if df is child), None)
+        if known is None:
+            children.append((child, [place]))
+        else:
+            known.append(place)
+
+    def pairs(df: DataFrame, places: list[int]) -> DataFrame:
+        return df.select(F.explode(F.array(*[
+            F.struct(F.lit(p).alias("place"), F.col(relations[p][0]).cast("string").alias("value")) for p in places]))
+            .alias("k")).select("k.*")
+
+    used = reduce(DataFrame.unionByName, [pairs(df, places) for df, places in children]).distinct()
+    there = reduce(DataFrame.unionByName, [pairs(parent, [p]) for p, (_, _, parent) in enumerate(relations)]).distinct()
+    missing = used.join(there, ["place", "value"], "left_anti").groupBy("place").agg(F.count("*").alias("missing_keys"))
+    names = used.sparkSession.createDataFrame(list(enumerate(k for k, _, _ in relations)), "place int, foreign_key string")
+    return names.join(missing, "place", "left").select("foreign_key", F.coalesce("missing_keys", F.lit(0)).alias("missing_keys"))
 
 
 def fk_filter(child: DataFrame, parents: dict[str, DataFrame]) -> DataFrame:

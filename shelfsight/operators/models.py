@@ -119,7 +119,8 @@ def confusion_matrix(df: DataFrame, actual: str, predicted: str, labels: list[st
 
 def classification_report(df: DataFrame, actual: str, predicted: str,
                           labels: list[str] = CLASSES) -> DataFrame:
-    """Precision, recall, F1 and support per class, and the accuracy over all rows."""
+    """Precision, recall, F1 and support per class, then their plain and their support-weighted means over the
+    classes; the accuracy over all rows in each."""
     hit = F.col(actual) == F.col(predicted)
     counted = df.agg(F.count("*").alias("n"), F.count_if(hit).alias("hits"), F.array(*[
         F.struct(F.lit(label).alias("sales_class"),
@@ -132,7 +133,16 @@ def classification_report(df: DataFrame, actual: str, predicted: str,
         "c.*", "accuracy")
     precision = ratio(F.col("tp"), F.col("n_predicted"), 0.0)
     recall = ratio(F.col("tp"), F.col("support"), 0.0)
-    return (per_class.withColumns({"precision": precision, "recall": recall})
+    scores = ["precision", "recall", "f1"]
+    rows = (per_class.withColumns({"precision": precision, "recall": recall})
             .withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"),
                                     F.col("precision") + F.col("recall"), 0.0))
-            .select("sales_class", "precision", "recall", "f1", "support", "accuracy"))
+            .select("sales_class", *scores, "support", "accuracy"))
+
+    def mean(name: str, weight: Column) -> DataFrame:
+        return rows.agg(*[ratio(F.sum(F.col(c) * weight), F.sum(weight), 0.0).alias(c) for c in scores],
+                        F.sum("support").alias("support"), F.first("accuracy").alias("accuracy")).select(
+            F.lit(name).alias("sales_class"), *scores, "support", "accuracy")
+
+    # three rows: each mean reads the counted aggregate anew, but not the data, whose exchange is reused
+    return rows.unionByName(mean("macro avg", F.lit(1.0))).unionByName(mean("weighted avg", F.col("support")))

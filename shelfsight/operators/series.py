@@ -38,7 +38,8 @@ def arima_backtest(monthly: DataFrame, months: int = 3, min_rows: int = 18,
     Two-stage least squares of Hannan and Rissanen (1982) on first differences:
     a long autoregression estimates the shocks, a second regression on the last
     difference and the last shock gives phi and theta. Both are 2x2 normal
-    equations, so the fit is window functions and sums over one shuffle.
+    equations, so the fit is window functions and sums over one shuffle. Where the second is singular, both are 0,
+    the forecast is the last value, and ``status`` says so.
     """
     by_series = Window.partitionBy(*SERIES)
     by_time = by_series.orderBy("t")
@@ -76,7 +77,8 @@ def arima_backtest(monthly: DataFrame, months: int = 3, min_rows: int = 18,
         *[F.max(F.when(F.col("t") == F.col("n_train") + h, F.col("y"))).alias(f"y_{h}")
           for h in range(1, months + 1)])
     phi, theta = _solve_2x2("s11", "s22", "s12", "p1", "p2")
-    fits = (fits.withColumns({"phi": clip(phi, -0.99, 0.99), "theta": clip(theta, -0.99, 0.99)})
+    status = F.when(_regular("s11", "s22", "s12"), "ok").otherwise("singular")
+    fits = (fits.withColumn("status", status).withColumns({"phi": clip(phi, -0.99, 0.99), "theta": clip(theta, -0.99, 0.99)})
             .withColumn("step", F.col("phi") * F.col("d_n") + F.col("theta") * F.col("e_n"))
             .withColumn("level", F.col("y_n") + F.col("step")))
     squares = F.lit(0.0)
@@ -86,14 +88,19 @@ def arima_backtest(monthly: DataFrame, months: int = 3, min_rows: int = 18,
                 .withColumn("step", F.col("phi") * F.col("step"))
                 .withColumn("level", F.col("level") + F.col("step")))
         squares = F.col("squares")
-    return fits.select(*SERIES, "n_train", "phi", "theta", F.sqrt(squares / months).alias("RMSE"))
+    return fits.select(*SERIES, "n_train", "phi", "theta", F.sqrt(squares / months).alias("RMSE"), "status")
+
+
+def _regular(s11: str, s22: str, s12: str) -> Column:
+    both = F.col(s11) * F.col(s22)
+    return F.coalesce(both - F.col(s12) * F.col(s12) > 1e-9 * both, F.lit(False))
 
 
 def _solve_2x2(s11: str, s22: str, s12: str, p1: str, p2: str) -> tuple[Column, Column]:
     """Least-squares coefficients of two regressors; 0 where the system is singular."""
+    regular = _regular(s11, s22, s12)
     s11, s22, s12, p1, p2 = (F.col(c) for c in (s11, s22, s12, p1, p2))
     det = s11 * s22 - s12 * s12
-    regular = det > 1e-9 * s11 * s22
     return (F.when(regular, F.try_divide(p1 * s22 - p2 * s12, det)).otherwise(0.0),
             F.when(regular, F.try_divide(p2 * s11 - p1 * s12, det)).otherwise(0.0))
 

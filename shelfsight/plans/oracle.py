@@ -294,7 +294,8 @@ CTES: dict[str, str] = {
 ARIMA_OUT = f"""
     select {SERIES}, n_train::bigint as n_train, {rnd('phi', 'phi', 4)}, {rnd('theta', 'theta', 4)},
       {rnd('sqrt((pow(y1 - (y_n + f1), 2) + pow(y2 - (y_n + f1 + f2), 2) + pow(y3 - (y_n + f1 + f2 + f3), 2)) / 3)',
-           'RMSE', 4)}
+           'RMSE', 4)},
+      case when det > 1e-9 * s11 * s22 then 'ok' else 'singular' end as status
     from arma_steps"""
 
 VERDICT_ROWS = "(values (0, 'LOW'), (1, 'MEDIUM'), (2, 'HIGH')) as c(position, label)"
@@ -341,6 +342,13 @@ def _one_hot_sql() -> str:
     return f"select {GRAIN}, {dummies} from m"
 
 
+def _reason(dates: list[str]) -> str:
+    cases = " ".join(f"when {c} is not null and try_cast({c} as date) is null then 'no date: {c}'" for c in dates)
+    if "week_ending_date" in dates:  # the only column of numbers that holds words which are no missing value
+        cases += " when on_hand_qty = 'none' then 'no number: on_hand_qty'"
+    return f"case {cases} else 'read' end" if cases else "'read'"
+
+
 def _solved(equations: str) -> str:
     """(k, beta) by Gauss-Jordan elimination of the rows of ``equations`` (columns r, a list of k coefficients and
     the right side, and k); an unknown that depends on those before it gets 0. Extra key columns: see _solved_by."""
@@ -490,6 +498,16 @@ FINALS: dict[str, str] = {
                              ("calendar", "raw_calendar", 6), ("promotions", "raw_promotions", 6),
                              ("inventory_weekly", "raw_inventory", 7)]),
     "csv_round_trip": "select * from raw_promotions",
+    "csv_quarantine": " union all ".join(
+        f"""select '{name}' as table_name, reason, count(*)::bigint as n_rows
+            from (select {_reason(dates)} as reason from {cte} union all select 'number of fields' from {cte} where {bad})
+            group by 1, 2""" for name, cte, dates, bad in [
+            ("sales", "raw_sales", ["date"], "shop_id % 7 = 0"), ("items", "raw_items", [], "item_id % 7 = 0"),
+            ("item_categories", "raw_categories", [], "item_category_id % 7 = 0"),
+            ("shops", "raw_shops", ["opening_date"], "shop_id % 7 = 0"),
+            ("calendar", "raw_calendar", ["date"], "is_summer = 1"),
+            ("promotions", "raw_promotions", ["start_date", "end_date"], "shop_id % 7 = 0"),
+            ("inventory_weekly", "raw_inventory", ["week_ending_date"], "shop_id % 7 = 0")]),
     "standardize_cols": "select * from raw_promotions",
     "parse_dates": "select cast(try_cast(date as date) as varchar) as date, shop_id, item_id, revenue_inr from raw_sales",
     "drop_bad_dates": """
@@ -636,16 +654,20 @@ FINALS: dict[str, str] = {
           (count(*) filter (predicted = 'HIGH'))::bigint as HIGH
         from {VERDICT_ROWS} left join pairs on actual = label group by label""",
     "classification_report": f"""
-        select label as sales_class, {rnd('p', 'precision')}, {rnd('r', 'recall')},
-          {rnd('case when p + r > 0 then 2 * p * r / (p + r) else 0 end', 'f1')}, support,
-          {rnd('accuracy', 'accuracy')}
+        select coalesce(label, kind) as sales_class, {rnd('sum(p * w) / sum(w)', 'precision')},
+          {rnd('sum(r * w) / sum(w)', 'recall')},
+          {rnd('sum(case when p + r > 0 then 2 * p * r / (p + r) else 0 end * w) / sum(w)', 'f1')},
+          sum(support)::bigint as support, {rnd('any_value(accuracy)', 'accuracy')}
+        from (select unnest([{{'kind': label, 'w': 1}}, {{'kind': 'macro avg', 'w': 1}},
+                             {{'kind': 'weighted avg', 'w': support}}], recursive := true),
+                p, r, support, accuracy, null as label
         from (select label, accuracy, support, coalesce(tp / nullif(said, 0), 0) as p,
                 coalesce(tp / nullif(support, 0), 0) as r
               from (select label, (count(*) filter (predicted = label and actual = label))::bigint as tp,
                       (count(*) filter (predicted = label))::bigint as said,
                       (count(*) filter (actual = label))::bigint as support,
                       count(*) filter (predicted = actual) / count(*) as accuracy
-                    from pairs, {VERDICT_ROWS} group by label))""",
+                    from pairs, {VERDICT_ROWS} group by label))) group by all""",
     "get_series": f"""
         select {SERIES}, year_month || '-01' as ds, {rnd('qty', 'y')},
           {_rounded(['avg_price', 'price_ratio', 'promo_intensity'])}, festive_days, holiday_days, stockout_days

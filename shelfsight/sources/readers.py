@@ -33,6 +33,35 @@ def read_csv_table(spark: SparkSession, path: str, multi_line: bool = False) ->
         for c in standardize_cols(df).columns])
 
 
+def read_csv_checked(spark: SparkSession, path: str, table: str, multi_line: bool = False
+                     ) -> tuple[DataFrame, DataFrame]:
+    """(rows, quarantine): the rows of a table's CSV whose fields can all be read, as text, and the others.
+
+    The quarantine has ``table_name``, ``file``, ``reason`` and ``line`` (the values as read, in order). A row is put
+    there if it has too many or too few fields, or a value that is not missing and no number, or no date, where its
+    column asks for one. Nothing is dropped: every line of the files is in one of the two.
+    """
+    kinds = TABLES[table]
+    text = ", ".join(f"`{c}` string" for c in kinds)
+    # without pruning, so that a line's fields are counted whatever columns are asked for
+    raw = (spark.read.schema(f"{text}, _malformed string").option("header", True).option("escape", '"')
+           .option("multiLine", multi_line).option("mode", "PERMISSIVE").option("columnPruning", False)
+           .option("columnNameOfCorruptRecord", "_malformed").csv(path)
+           .withColumn("_file", F.col("_metadata.file_path")))
+    filled = raw.select(*[F.when(~F.col(c).isin(MISSING_TOKENS), F.col(c)).alias(c) for c in kinds], "_malformed", "_file")
+    reason = F.when(F.col("_malformed").isNotNull(), "number of fields")
+    for c, kind in kinds.items():
+        if kind == "date":
+            reason = reason.when(F.col(c).isNotNull() & F.try_to_date(F.col(c)).isNull(), f"no date: {c}")
+        elif kind != "string":
+            reason = reason.when(F.col(c).isNotNull() & numeric(F.col(c), True).isNull(), f"no number: {c}")
+    judged = filled.withColumn("_reason", reason)
+    line = F.coalesce("_malformed", F.to_json(F.array(*kinds)))
+    return (judged.where("_reason is null").select(*kinds),
+            judged.where("_reason is not null").select(F.lit(table).alias("table_name"), F.col("_file").alias("file"),
+                                                       F.col("_reason").alias("reason"), line.alias("line")))
+
+
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
     if fmt == "csv":
         return read_csv_table(spark, path, **options)

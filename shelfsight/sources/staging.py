@@ -37,6 +37,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int | None = None) -> DataFrame:
+    """Write ``df`` bucketed and sorted by ``keys``, as a table of the session, and read it back.
+
+    Windows, groups and joins by these keys read it without an exchange. The files lie below the shared folder;
+    whoever made the table drops it.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    (df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
+     .option("path", staging_path(spark, name)).saveAsTable(table))
+    return spark.table(table)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a source that has fewer splits than the session has cores, such as one unsplittable file.
 

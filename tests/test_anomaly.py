@@ -48,6 +48,27 @@ def test_outlier_is_found_on_any_partitioning(pool):
     assert len(flagged) == round(0.02 * 601)
 
 
+def test_draw_is_bounded_and_takes_the_smallest_hashes(pool):
+    """Each task sends at most ``size`` rows a tree; together they hold the sample of one task over all rows."""
+    drawn = A.draw_rows(pool.repartition(5), FEATURES, GRAIN, trees=4, size=16, seed=1)
+    assert drawn.count() == 5 * 4 * 16
+    one = A.draw_rows(pool.coalesce(1), FEATURES, GRAIN, trees=4, size=16, seed=1).collect()
+    many = drawn.collect()
+    for tree in range(4):
+        ranked = sorted((r["h"] & (2 ** 64 - 1), r["qty"]) for r in many if r["tree"] == tree)[:16]
+        assert ranked == sorted((r["h"] & (2 ** 64 - 1), r["qty"]) for r in one if r["tree"] == tree)
+
+
+def test_saved_forest_scores_alike(spark, pool, tmp_path):
+    forest, scored = A.fit_isolation_forest(pool, trees=12, features=FEATURES)
+    forest.save(str(tmp_path / "forest"))
+    again = A.IsolationForest.load(spark.newSession(), str(tmp_path / "forest")).transform(pool.select(*GRAIN, *FEATURES))
+    want = {r["item_id"]: (r["anomaly_score"], r["is_anomaly"]) for r in scored.collect()}
+    assert {r["item_id"]: (r["anomaly_score"], r["is_anomaly"]) for r in again.collect()} == want
+    none, empty = A.fit_isolation_forest(pool.limit(0), trees=3, features=FEATURES)
+    assert none is None and empty.count() == 0
+
+
 def test_report_is_sorted_and_cut(pool):
     scored = A.isolation_forest(pool, trees=20, features=FEATURES)
     top = A.top_anomalies(scored, 5).collect()

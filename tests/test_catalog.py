@@ -13,7 +13,9 @@ from shelfsight.plans import catalog, oracle
 # Every query is compared by the driver; these cover each family here.
 COMPARED = ["table_profile", "csv_round_trip", "fk_check", "fill_numeric_defaults", "monthly_features",
             "promo_month", "correlation_matrix", "quantiles", "stratified_split", "arima_backtest",
-            "inventory_plan", "shop_profit", "isolation_forest_contract", "seasonal_regression_contract"]
+            "inventory_plan", "shop_profit", "isolation_forest_contract", "seasonal_regression_backtest",
+            "sales_class_by_region", "label_dictionary", "linear_regression", "sequence_regression",
+            "sequence_regression_total"]
 
 
 @pytest.fixture(scope="module")
@@ -39,8 +41,7 @@ def test_query_matches_sql(spark, sql, name):
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(catalog.QUERIES) - set(oracle.oracle_sql()) == {
-        "seasonal_regression_backtest", "sequence_regression", "sequence_regression_total", "linear_regression",
-        "random_forest_reg", "gradient_boosting", "model_comparison", "forecast_next", "sales_classifier",
+        "random_forest_reg", "deep_forest_reg", "gradient_boosting", "model_comparison", "forecast_next", "sales_classifier",
         "isolation_forest"}
 
 

@@ -4,9 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfsight.operators import decisions as D
+from shelfsight.operators.sampling import series_holdout
+from shelfsight.operators.series import arima_backtest, seasonal_fits
 from shelfsight.plans import features as P
 from shelfsight.plans.report import write_reports
 from shelfsight.sources import readers, staging
+from shelfsight.sources.store import load_model
 
 
 def test_profit_identity(monthly, raw):
@@ -87,6 +90,43 @@ def test_all_reports_from_csv(spark, raw, tmp_path):
                  "profit_ranking_shops", "whatif_price_increase", "inventory_reorder_plan_next_month",
                  "classification_confusion_matrix", "classification_report", "anomalies"]:
         assert spark.read.option("header", True).csv(f"{out}/{name}").count() > 0, name
+    for name in ["encoder/dictionary", "encoder/columns", "encoder_sales_classes/dictionary", "arima_parameters",
+                 "seasonal_coefficients", "model_sequence/coefficients", "model_LinearRegression/coefficients",
+                 "model_isolation_forest/nodes", "model_isolation_forest/facts"]:
+        assert spark.read.parquet(f"{out}/{name}").count() > 0, name
+    for name in ["scaler", "model_RandomForestRegressor", "model_GradientBoostingRegressor", "model_sales_classes"]:
+        assert load_model(spark, f"{out}/{name}").uid, name
     assert set(spark.read.option("header", True).csv(f"{out}/profit_ranking_shops").columns) == {
         "shop_id", "total_revenue", "total_cost", "total_profit", "total_qty",
         "shop_city", "shop_state", "shop_region"}
+
+
+def test_malformed_lines_are_set_aside(spark, tmp_path):
+    """Every line is read or in the quarantine, with its file and the reason."""
+    folder = tmp_path / "shops.csv"
+    folder.mkdir()
+    header = "shop_id,shop_city,shop_state,shop_region,shop_name,store_type,store_size_sqft,opening_date\n"
+    (folder / "a.csv").write_text(header + '1,"a, ""b""",s,r,n,t,12,2020-01-31\n2,x,s,r,n,t,,NA\n3,short\n')
+    (folder / "b.csv").write_text(header + "4,x,s,r,n,t,big,2020-01-01\nx5,x,s,r,n,t,1,2020-01-01\n"
+                                  "6,x,s,r,n,t,1,someday\n7,x,s,r,n,t,1,2020-01-01,more\n")
+    rows, bad = readers.read_csv_checked(spark, str(folder), "shops")
+    assert sorted((r["shop_id"], r["shop_city"], r["store_size_sqft"], r["opening_date"]) for r in rows.collect()) == [
+        ("1", 'a, "b"', "12", "2020-01-31"), ("2", "x", None, None)]
+    got = {(r["file"].rsplit("/", 1)[1], r["reason"], r["line"][:2]) for r in bad.collect()}
+    assert got == {("a.csv", "number of fields", "3,"), ("b.csv", "no number: store_size_sqft", '["'),
+                   ("b.csv", "no number: shop_id", '["'), ("b.csv", "no date: opening_date", '["'),
+                   ("b.csv", "number of fields", "7,")}
+    assert rows.select("shop_id").count() == 2 and bad.count() == 5  # the same whatever columns are asked for
+
+
+def test_bucketed_features_need_no_exchange(spark, monthly):
+    """Hold-outs and back-tests of the stored table run in its buckets."""
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    stored = staging.stage_bucketed(monthly, "monthly", ["shop_id", "item_id"], 4)
+    for operator in (series_holdout, arima_backtest, seasonal_fits):
+        assert "Exchange" not in plan(operator(stored)), operator
+        assert "Exchange" in plan(operator(monthly)), operator
+    want = {tuple(r) for r in arima_backtest(monthly).select("shop_id", "item_id", F.round("RMSE", 6)).collect()}
+    assert {tuple(r) for r in arima_backtest(stored).select("shop_id", "item_id", F.round("RMSE", 6)).collect()} == want

@@ -21,6 +21,19 @@ def test_correlation_skips_incomplete_pairs_and_constants(spark):
     assert r["a", "c"] is None and r["c", "c"] is None
 
 
+def test_correlation_of_far_values(spark):
+    """Values near 1e9 that differ by about 1, in tasks whose means differ; and a constant that is no exact sum."""
+    rng = np.random.default_rng(2)
+    a = 1e9 + rng.normal(size=3000)
+    b = 1e9 + 0.3 * (a - 1e9) + rng.normal(size=3000)
+    df = spark.createDataFrame([(float(x), float(y), 0.1) for x, y in zip(a, b)], "a double, b double, c double")
+    for parts in (1, 6):
+        r = correlations(df.repartitionByRange(parts, "a"), ["a", "b", "c"])
+        assert r["a", "b"] == pytest.approx(np.corrcoef(a, b)[0, 1], abs=1e-7)
+        assert r["a", "c"] is None and r["c", "c"] is None and r["a", "a"] == pytest.approx(1)
+    assert set(correlations(df.limit(0), ["a", "b"]).values()) == {None}
+
+
 def test_correlation_matches_pandas(monthly):
     r = correlations(monthly, E.CORRELATION_COLUMNS)
     want = monthly.select(*[F.col(c).cast("double") for c in E.CORRELATION_COLUMNS]).toPandas().corr()
