@@ -22,6 +22,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import SMALL_ROWS, is_small, written
-from .words import WordHashes, lean, longs, mix, pieces, windows
+from .words import WordHashes, lean, longs, mix, pieces, texts, windows
 
 WIDTH = 8  # tokens of a window
 NEAR = 8  # windows of which one is chosen in the first round
@@ -194,30 +195,36 @@ def blocks_of(page: str) -> list[Block]:
     return [b for b in out if b.zone != "furniture"]
 
 
-BLOCKS = "array<struct<text:string,zone:string>>"
-
-
 def parsed(pages: DataFrame, page_id: str, url: str, markup: str) -> DataFrame:
-    """(page_id, url, host, stream, blocks): each page's blocks that markup leaves, and a hash of all their tokens."""
+    """(page_id, url, host, stream, body, zones): each page's blocks that markup leaves, one a line of ``body`` with
+    a letter of ``zones`` (t in an article, else o), and a hash of the body."""
     name = F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(url).cast("string").alias("url"),
                         F.xxhash64(name).alias("host"), F.col(markup).cast("string").alias("html"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("text", pa.string()), ("zone", pa.string())]))
         for batch in pieces(batches, "html"):
             found = [blocks_of(x or "") for x in batch.column("html").to_pylist()]
-            streams = [xxhash.xxh64_intdigest(" ".join(b.text for b in f)) for f in found]
+            bodies = ["\n".join(b.text for b in f) for f in found]
+            streams = [xxhash.xxh64_intdigest(b.replace("\n", " ")) for b in bodies]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("page_id", "url", "host")), pa.array(longs(np.array(streams, np.uint64))),
-                 pa.array([[{"text": b.text, "zone": b.zone} for b in f] for f in found], kind)],
-                ["page_id", "url", "host", "stream", "blocks"])
+                 pa.array(bodies, pa.string()), pa.array(["".join(b.zone[0] for b in f) for f in found], pa.string())],
+                ["page_id", "url", "host", "stream", "body", "zones"])
+
+    return rows.mapInArrow(lean(task), "page_id bigint, url string, host bigint, stream bigint, body string, zones string")
 
-    return rows.mapInArrow(lean(task), f"page_id bigint, url string, host bigint, stream bigint, blocks {BLOCKS}")
 
+class Page(NamedTuple):
+    host: int
+    stream: int
+    body: bytes
+    zones: str
 
-def tokens_of(blocks: list[dict], cache: WordHashes) -> np.ndarray:
-    return cache.of([w.encode() for b in blocks for w in b["text"].split(" ")])
+
+def pages_of(batch: pa.RecordBatch) -> Iterator[Page]:
+    host, stream, zones = (batch.column(c).to_pylist() for c in ("host", "stream", "zones"))
+    return map(Page, host, stream, texts(batch.column("body")), zones)
 
 
 def keys_of(host: int, values: np.ndarray) -> np.ndarray:
@@ -230,9 +237,14 @@ def groups(tokens: np.ndarray, host: int) -> np.ndarray:
     return keys_of(host, windows(tokens, WIDTH)) if len(tokens) >= WIDTH else np.zeros(0, np.uint64)
 
 
-def outside(blocks: list[dict]) -> np.ndarray:
+def block_sizes(page: Page) -> list[int]:
+    """Tokens of each block."""
+    return [x.count(b" ") + 1 for x in page.body.split(b"\n")] if page.zones else []
+
+
+def outside(page: Page) -> np.ndarray:
     """Which tokens stand outside an article's prose."""
-    return np.repeat([b["zone"] != "text" for b in blocks], [b["text"].count(" ") + 1 for b in blocks]).astype(bool)
+    return np.repeat([z != "t" for z in page.zones], block_sizes(page)).astype(bool)
 
 
 def chosen(keys: np.ndarray, free: np.ndarray) -> np.ndarray:
@@ -285,7 +297,7 @@ def with_common(rows: DataFrame, common: DataFrame, own_keys, work, schema: str,
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
-            found = [longs(np.unique(own_keys(r, cache))) for r in batch.to_pylist()]
+            found = [longs(np.unique(own_keys(p, cache))) for p in pages_of(batch)]
             place = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
             yield pa.RecordBatch.from_arrays([batch.column("page").take(place), pa.array(np.concatenate(found) if found else [],
                                                                                         pa.int64())], ["page", "name"])
@@ -305,12 +317,12 @@ def with_common(rows: DataFrame, common: DataFrame, own_keys, work, schema: str,
     return wide.mapInArrow(lean(task_wide), schema)
 
 
-def page_windows(row: dict, cache: WordHashes) -> np.ndarray:
-    return groups(tokens_of(row["blocks"], cache), row["host"])
+def page_windows(page: Page, cache: WordHashes) -> np.ndarray:
+    return groups(cache.of(page.body.split()), page.host)
 
 
-def all_names(row: dict, cache: WordHashes) -> np.ndarray:
-    return np.append(page_windows(row, cache), keys_of(row["host"], np.array([row["stream"]], np.int64).view(np.uint64)))
+def all_names(page: Page, cache: WordHashes) -> np.ndarray:
+    return np.append(page_windows(page, cache), keys_of(page.host, np.array([page.stream], np.int64).view(np.uint64)))
 
 
 def names_batch(batch: pa.RecordBatch, found: list[np.ndarray]) -> pa.RecordBatch:
@@ -337,17 +349,17 @@ def common_windows(rows: DataFrame, small_rows: int = SMALL_ROWS) -> DataFrame:
         cache = WordHashes()
         for batch in batches:
             found = []
-            for row in batch.select(["host", "blocks"]).to_pylist():
-                keys = page_windows(row, cache)
-                found.append(keys[chosen(keys, outside(row["blocks"]))])
+            for page in pages_of(batch):
+                keys = page_windows(page, cache)
+                found.append(keys[chosen(keys, outside(page))])
             yield names_batch(batch, found)
 
     first = written(counted(rows.mapInArrow(lean(choose), "host bigint, name bigint"), hosts), "page-windows")
 
     def around(batch: pa.RecordBatch, tables: list[Common], cache: WordHashes) -> pa.RecordBatch:
         found = []
-        for row, table in zip(batch.select(["host", "blocks"]).to_pylist(), tables):
-            keys = page_windows(row, cache)
+        for page, table in zip(pages_of(batch), tables):
+            keys = page_windows(page, cache)
             hit = table.find(longs(keys))[0] > 0
             edge = np.zeros(len(keys) + 1, np.int64)
             at = np.flatnonzero(hit)
@@ -369,15 +381,15 @@ def common_windows(rows: DataFrame, small_rows: int = SMALL_ROWS) -> DataFrame:
         copies.mapInArrow(named_streams, "name bigint, pages bigint, host_pages bigint"))
 
 
-def kept_text(blocks: list[dict], keys: np.ndarray, table: Common, copies: int) -> str:
+def kept_text(page: Page, keys: np.ndarray, table: Common, copies: int) -> bytes:
     """The blocks without covered runs; a token is judged by the rule of its block's zone. Of a block that a run only
     touches, a part shorter than a run must be stays."""
-    words = [w for b in blocks for w in b["text"].split(" ")]
     pages, host_pages = table.find(longs(keys))
     if not (pages > copies).any():
-        return " ".join(b["text"] for b in blocks)
-    free = outside(blocks)
-    stops = np.cumsum([b["text"].count(" ") + 1 for b in blocks])
+        return page.body.replace(b"\n", b" ")
+    words = page.body.split()
+    free = outside(page)
+    stops = np.cumsum(block_sizes(page))
     starts = np.append(0, stops[:-1])
     gone = np.zeros(len(words), bool)
     for zone, mine, least in (("text", ~free, LONG), ("open", free, WIDTH)):
@@ -397,22 +409,23 @@ def kept_text(blocks: list[dict], keys: np.ndarray, table: Common, copies: int)
                 low, high = max(a, start), min(b, stop)
                 if high - low >= least or (low, high) == (start, stop):
                     gone[low:high] |= mine[low:high]
-    return " ".join(w for w, g in zip(words, gone) if not g)
+    return b" ".join(w for w, g in zip(words, gone) if not g)
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", markup: str = "html", text: str = "text",
             small_rows: int = SMALL_ROWS) -> DataFrame:
     """(page_id, url, text) of every page."""
-    rows = written(parsed(pages, page_id, url, markup), "pages")
+    rows = written(parsed(pages, page_id, url, markup), "pages", "zstd")
     common = written(common_windows(rows, small_rows), "page-strings")
 
     def clean(batch: pa.RecordBatch, tables: list[Common], cache: WordHashes) -> pa.RecordBatch:
         out = []
-        for row, table in zip(batch.select(["host", "stream", "blocks"]).to_pylist(), tables):
-            names = all_names(row, cache)
+        for page, table in zip(pages_of(batch), tables):
+            names = all_names(page, cache)
             copies = max(1, int(table.find(longs(names[-1:]))[0][0]))
-            out.append(kept_text(row["blocks"], names[:-1], table, copies))
-        return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string())],
+            out.append(kept_text(page, names[:-1], table, copies))
+        return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"),
+                                           pa.array(out, pa.binary()).cast(pa.string())],
                                           ["page_id", "url", text])
 
     return with_common(rows, common, all_names, clean, f"page_id bigint, url string, `{text}` string", small_rows)
