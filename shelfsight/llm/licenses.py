@@ -43,6 +43,23 @@ TEMPLATES = {
                 "either version 3 of the License, or any later version"],
     "GPL-2.0": ["under the terms of the GNU General Public License as published by the Free Software Foundation, "
                 "either version 2 of the License, or any later version"],
+    "LGPL-2.1": ["under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, "
+                 "either version 2.1 of the License, or any later version"],
+    "LGPL-3.0": ["under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, "
+                 "either version 3 of the License, or any later version"],
+    "AGPL-3.0": ["under the terms of the GNU Affero General Public License as published by the Free Software Foundation, "
+                 "either version 3 of the License, or any later version"],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+            "granted, provided that the above copyright notice and this permission notice appear in all copies"],
+    "BSD-2-Clause": ["Redistributions of source code must retain the above copyright notice, this list of conditions and "
+                     "the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, "
+                     "this list of conditions and the following disclaimer in the documentation and/or other materials "
+                     "provided with the distribution"],
+    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to "
+                "this work"],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public "
+                "License 2.0 which is available at"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0"],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0"],
@@ -65,17 +82,57 @@ class Template:
         self.keys = np.unique(grams)
 
 
-def best_windows(grams: np.ndarray, template: Template, threshold: float) -> list[tuple[float, int, int]]:
+class Templates:
+    """All templates, with one index from bigrams to the templates that have them.
+
+    A text's bigrams are looked up once for all templates; a template is only compared if the text has as many of its
+    bigrams as the shortest window that can reach the threshold.
+    """
+
+    def __init__(self, templates: list[Template], threshold: float):
+        self.all = templates
+        keys = np.concatenate([t.keys for t in templates]) if templates else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(len(templates)), [len(t.keys) for t in templates])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.starts = np.unique(keys[order], return_index=True)
+        self.owner, self.stops = owner[order], np.append(self.starts[1:], len(keys))
+        self.least = np.array([least_shared(t.size - 1, threshold) for t in templates], np.int64)
+
+    def near(self, grams: np.ndarray) -> list[tuple[Template, np.ndarray]]:
+        """Templates that can match, with the places of their bigrams in the text."""
+        if not len(self.keys):
+            return []
+        place = np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)
+        at = np.flatnonzero(self.keys[place] == grams)
+        if not len(at):
+            return []
+        place = place[at]
+        size = self.stops[place] - self.starts[place]
+        ends = np.cumsum(size)
+        owner = self.owner[np.arange(ends[-1]) + np.repeat(self.starts[place] - (ends - size), size)]
+        where = np.repeat(at, size)
+        counts = np.bincount(owner, minlength=len(self.all))
+        return [(self.all[k], where[owner == k]) for k in np.flatnonzero(counts >= self.least)]
+
+
+def least_shared(size: int, threshold: float) -> int:
+    """Bigrams that the shortest window reaching the threshold shares with a template of ``size`` bigrams."""
+    return int(np.ceil(threshold / 2 * (size * threshold / (2 - threshold) + size) - 1e-9))
+
+
+def best_windows(grams: np.ndarray, template: Template, threshold: float, places: np.ndarray | None = None
+                 ) -> list[tuple[float, int, int]]:
     """(coefficient, first bigram, end) of every window that reaches the threshold, of any size.
 
-    A window that begins or ends with a bigram the template lacks is worse than the one without it.
+    A window that begins or ends with a bigram the template lacks is worse than the one without it. ``places`` are
+    those of the template's bigrams, if known.
     """
     size = template.size - 1
-    shortest, longest = size * threshold / (2 - threshold), size * (2 - threshold) / threshold
-    least = int(np.ceil(threshold / 2 * (shortest + size) - 1e-9))  # shared bigrams of the shortest window
+    longest, least = size * (2 - threshold) / threshold, least_shared(size, threshold)
     if len(grams) < least:
         return []  # too small a text
-    places = np.flatnonzero(np.isin(grams, template.keys))
+    if places is None:
+        places = np.flatnonzero(np.isin(grams, template.keys))
     if len(places) < least:
         return []  # too few shared bigrams
     stops = np.searchsorted(places, places + int(longest + 1e-9))
@@ -92,7 +149,7 @@ def best_windows(grams: np.ndarray, template: Template, threshold: float) -> lis
     return out
 
 
-def scan_text(text: str, templates: list[Template], cache: WordHashes, threshold: float) -> list[dict]:
+def scan_text(text: str, templates: Templates, cache: WordHashes, threshold: float) -> list[dict]:
     """Matches in ``text``, in code points, apart from one another and in order."""
     lowered = text.lower()
     if len(lowered) != len(text):  # a letter whose lower case is longer: keep offsets of the original
@@ -102,7 +159,9 @@ def scan_text(text: str, templates: list[Template], cache: WordHashes, threshold
         return []
     grams = windows(cache.of([lowered[a:b].encode() for a, b in spans]), 2)
     found = [(-dice, s, -t.size, t.name, stop + 1)
-             for t in templates for dice, s, stop in best_windows(grams, t, threshold)]
+             for t, places in templates.near(grams) for dice, s, stop in best_windows(grams, t, threshold, places)]
+    if not found:
+        return []
     taken, out = np.zeros(len(spans), bool), []
     for dice, s, _, name, stop in sorted(found):
         if not taken[s:stop].any():
@@ -123,7 +182,7 @@ def scan(docs: DataFrame, text: str = "text", found: str = "licenses", templates
 
     def task(batches: Iterator[pa.RecordBatch]):
         cache = WordHashes()
-        known = [Template(name, words, cache) for name, words in shipped.value]
+        known = Templates([Template(name, words, cache) for name, words in shipped.value], threshold)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("license", pa.string()),
                                    ("dice", pa.float64())]))
         for batch in pieces(batches, text):
@@ -133,6 +192,17 @@ def scan(docs: DataFrame, text: str = "text", found: str = "licenses", templates
     return docs.mapInArrow(lean(task), schema)
 
 
+def template_table(rows: DataFrame, name: str = "license", text: str = "text") -> dict[str, list[str]]:
+    """Templates from a table: a name and a text a row, such as full licence texts. Rows without a name or with fewer
+    than two words are no templates; more than MAX_TEMPLATES are refused."""
+    found: dict[str, list[str]] = {}
+    some = rows.where(F.col(name).isNotNull() & F.col(text).isNotNull()).select(name, text).distinct()
+    for r in some.orderBy(name, text).limit(MAX_TEMPLATES + 1).collect():
+        if len(normal(r[text])) > 1:
+            found.setdefault(r[name], []).append(r[text])
+    return found
+
+
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: number of notices, the licences, the spans."""
     rows = scan(docs.select("doc_id", "text"))
