@@ -148,6 +148,15 @@ def fill_unknown(raw):
     return C.fill_unknown(raw["shops"], P.SHOP_LABELS)
 
 
+def _clean_query(table: str) -> None:
+    """Dates, numbers, defaults and labels of a whole table, as the pipeline cleans it."""
+    QUERIES[f"clean_{table}"] = lambda spark, sf_dir: tidy(P.clean_tables(retail_tables(spark, sf_dir))[table])
+
+
+for _name in ("sales", "items", "shops", "calendar", "promotions"):
+    _clean_query(_name)
+
+
 @query()
 def column_subset(raw):
     return C.column_subset(raw["promotions"], ["shop_id", "no_such_column", "discount_pct", "end_date"],

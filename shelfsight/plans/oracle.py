@@ -520,6 +520,13 @@ FINALS: dict[str, str] = {
     "fill_numeric_defaults":
         "select * replace (cast(week_ending_date as varchar) as week_ending_date) from c_inventory",
     "fill_unknown": "select * from c_shops",
+    "clean_sales": "select * replace (cast(date as varchar) as date) from c_sales",
+    "clean_items": "select * from c_items",
+    "clean_shops": "select * replace (cast(try_cast(opening_date as date) as varchar) as opening_date) from c_shops",
+    "clean_calendar": "select * replace (cast(date as varchar) as date) from c_calendar",
+    "clean_promotions": """
+        select * replace (cast(start_date as varchar) as start_date, cast(end_date as varchar) as end_date)
+        from c_promotions""",
     "column_subset": "select shop_id, discount_pct from raw_promotions",
     "fk_check": " union all ".join(
         f"""select '{key}' as foreign_key, count(*)::bigint as missing_keys from (
