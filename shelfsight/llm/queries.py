@@ -32,6 +32,30 @@ def op1_ngram_jaccard_join(spark, sf_dir):
     return groups.select("doc_id", "n_shingles", "component_id")
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLE_SQL["op1_ngram_jaccard_join"] = rf"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (
+  select distinct doc_id, ws[p:p + k - 1] as shingle from (
+    select doc_id, ws, least(5, len(ws)) as k, unnest(range(1, len(ws) - least(5, len(ws)) + 2)) as p from w
+    where len(ws) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+pairs as (
+  select a.doc_id as x, b.doc_id as y, count(*) as common from s a join s b using (shingle) where a.doc_id < b.doc_id
+  group by 1, 2),
+links as (
+  select x, y from pairs join n nx on nx.doc_id = x join n ny on ny.doc_id = y
+  where 100 * common >= 80 * (nx.n + ny.n - common)),
+edges as (select x, y from links union all select y, x from links),
+reached as (
+  select doc_id, doc_id as c from documents union select e.y, r.c from reached r join edges e on e.x = r.doc_id)
+select doc_id, coalesce(any_value(n), 0) as n_shingles, min(c) as component_id
+from reached left join n using (doc_id) group by doc_id
+"""
+
+
 @query
 def op2_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
@@ -109,6 +133,32 @@ def op10_benchmark_decontamination(spark, sf_dir):
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+ORACLE_SQL["op10_benchmark_decontamination"] = rf"""
+with d as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as ws from documents),
+b as (
+  select item_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
+item_windows as (
+  select distinct item_id, k, ws[p:p + k - 1] as part from (
+    select item_id, ws, least(10, len(ws)) as k, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) as p from b
+    where len(ws) > 0)),
+doc_windows as (
+  select doc_id, k, p, ws[p:p + k - 1] as part from (
+    select doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) as p
+    from d, (select distinct k from item_windows) where len(ws) >= k)),
+hits as (select doc_id, p, k, item_id from doc_windows join item_windows using (k, part)),
+words as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + k)) as q from hits) group by 1),
+items as (
+  select doc_id, count(distinct item_id) as n_items,
+         string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids from hits group by 1)
+select doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, n_hit is not null as contaminated
+from d left join words using (doc_id) left join items using (doc_id)
+"""
+
+
 @query
 def op11_exact_top_k(spark, sf_dir):
     found = block_search.top_k(table(spark, sf_dir, "embeddings"), every=20, k=20)
