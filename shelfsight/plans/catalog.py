@@ -577,7 +577,7 @@ def sales_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(R.confusion_matrix(scored, "sales_class", "predicted_class"))
 
 
-DEEP_TREES = 6  # trees without a depth limit in the registered query
+DEEP_TREES = 4  # trees without a depth limit in the registered query
 
 
 def deep_forest_reg(spark: SparkSession, sf_dir: str) -> DataFrame:
