@@ -3,12 +3,15 @@
 A model with byte-pair scores is not the best path of a lattice (the largest sum of scores gives other pieces),
 so the fold is the model's own rule instead of Viterbi: merge the adjacent pair with the best score, leftmost
 first, until no pair is a piece. Everything before is the lattice: texts are cut into words where no piece can
-reach across, words are made distinct, all their substrings up to the longest piece are joined to the piece
-table by hash, and the edges stand grouped by word (start x length). Tasks keep this in Arrow batches: exploded
-edges would be several times the input on disk.
+reach across, words are made distinct within a task, all their substrings up to the longest piece are looked up in
+the piece table by hash, and the edges stand grouped by word (start x length). Each task does this with numpy on
+its Arrow batches. It is not a relational lattice: there is no Spark explode, join, grouping by word or higher-order
+aggregate. Joining the pieces of distinct words back would move a row for every word of every text through a
+shuffle, several times the input.
 
 Defined results: null and empty texts have no pieces; characters without a piece become byte pieces; the mark
-U+2581 in a text is a blank, as in the model; further columns are kept; an empty table gives an empty result.
+U+2581 in a text is a blank, as in the model; texts of any length are encoded whole; repeated rows give equal rows;
+further columns are kept, except that the new one replaces a column of its name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
