@@ -127,40 +127,45 @@ def frequency_maps(packed: DataFrame) -> DataFrame:
     fold = 32 - MAP_BITS
     width = (1 << MAP_BITS) // RANGES
 
-    def task(batches: Iterator[pa.RecordBatch]):
-        for group in runs(batches, ["id"]):
-            r = int(group.column("id")[0].as_py())
-            held, n, counts = [], 0, None
-
-            def spill(counts):
-                counts = np.zeros(1 << 20, np.int64) if counts is None else counts
-                np.add.at(counts, np.concatenate(held) & np.uint32((1 << 20) - 1), 1)
-                return counts
+    def maps_of(r: int, held: list[np.ndarray], counts: np.ndarray | None) -> pa.RecordBatch | None:
+        if counts is None:
+            values, times = np.unique(np.concatenate(held), return_counts=True)
+            slots = (values & np.uint32((1 << 20) - 1)) >> np.uint32(fold)
+        else:
+            counts = added(held, counts) if held else counts
+            slots, times = np.flatnonzero(counts) >> fold, counts[counts > 0]
+        rows = []
+        for step in STEPS:
+            chosen = slots[times >= step]
+            if not len(chosen):
+                break
+            bits = np.zeros(width, bool)
+            bits[chosen] = True
+            rows.append((r, step, int(bits.sum()), np.packbits(bits).tobytes()))
+        if not rows:
+            return None
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
+            ["range", "step", "bits", "slice"])
+
+    def added(held: list[np.ndarray], counts: np.ndarray | None) -> np.ndarray:
+        more = np.bincount(np.concatenate(held) & np.uint32((1 << 20) - 1), minlength=1 << 20)
+        return more if counts is None else counts + more
 
-            for x in group.column("packed").to_pylist():
+    def task(batches: Iterator[pa.RecordBatch]):
+        last, held, n, counts = None, [], 0, None  # a range streams through; what is held of it is bounded
+        for batch in batches:
+            for r, x in zip(batch.column("id").to_pylist(), batch.column("packed").to_pylist()):
+                if r != last:
+                    if last is not None and (made := maps_of(last, held, counts)) is not None:
+                        yield made
+                    last, held, n, counts = r, [], 0, None
                 held.append(unpack(x))
                 n += len(held[-1])
                 if n >= RANGE_VALUES:
-                    counts, held, n = spill(counts), [], 0
-            if counts is None:
-                values, times = np.unique(np.concatenate(held), return_counts=True)
-                slots = (values & np.uint32((1 << 20) - 1)) >> np.uint32(fold)
-            else:
-                counts = spill(counts) if held else counts
-                slots = np.flatnonzero(counts) >> fold
-                times = counts[counts > 0]
-            rows = []
-            for step in STEPS:
-                chosen = slots[times >= step]
-                if not len(chosen):
-                    break
-                bits = np.zeros(width, bool)
-                bits[chosen] = True
-                rows.append((r, step, int(bits.sum()), np.packbits(bits).tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
-                    ["range", "step", "bits", "slice"])
+                    counts, held, n = added(held, counts), [], 0
+        if last is not None and (made := maps_of(last, held, counts)) is not None:
+            yield made
 
     return packed.repartition("id").sortWithinPartitions("id") \
         .mapInArrow(lean(task), "range bigint, step bigint, bits bigint, slice binary")

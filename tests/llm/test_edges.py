@@ -115,3 +115,17 @@ def test_recall_of_fuzzy_passages(spark, words, edits, least):
     got = passages.shared(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     found = {r["doc_id"] for r in got if r["other_id"] == r["doc_id"] - 1 and r["start"] >= 70 and r["stop"] <= 90 + words}
     assert len(found) >= least * pairs
+
+
+def test_frequency_maps_are_the_same_in_pieces(spark, monkeypatch):
+    """A range that is counted slot by slot, because it is long, gives the maps of one that is sorted at once."""
+    text = [" ".join(RNG.choice(["a", "b", "c", "d"]) for _ in range(RNG.randrange(5, 60))) for _ in range(60)]
+    rows = spark.createDataFrame(list(enumerate(text)), "doc_id bigint, text string")
+    packed = store.written(ngram_join.measured(rows, "text", "doc_id").where("kind = 1").select("id", "packed"), "packed")
+
+    def maps():
+        return sorted((r["range"], r["step"], r["bits"], bytes(r["slice"])) for r in ngram_join.frequency_maps(packed).collect())
+
+    once = maps()
+    monkeypatch.setattr(ngram_join, "RANGE_VALUES", 1)
+    assert maps() == once and max(step for _, step, _, _ in once) >= 8
