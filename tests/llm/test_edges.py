@@ -128,4 +128,4 @@ def test_frequency_maps_are_the_same_in_pieces(spark, monkeypatch):
 
     once = maps()
     monkeypatch.setattr(ngram_join, "RANGE_VALUES", 1)
-    assert maps() == once and max(step for _, step, _, _ in once) >= 8
+    assert maps() == once and max(step for _, step, _, _ in once) >= 4
