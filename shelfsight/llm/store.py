@@ -14,7 +14,8 @@ def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; only a local session that names none (a test) gets one, below its warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     return root.rstrip("/")
