@@ -36,7 +36,7 @@ from .words import lean, runs
 BLOCK_ROWS = 64
 BUFFER_ROWS = 2048  # rows a task holds while it cuts blocks; a query's floor comes from its buffer
 PIVOTS = 256
-CHUNK_BYTES = 8 << 20  # integers of the queries in one chunk
+CHUNK_BYTES = 2 << 20  # integers of the queries in one chunk; their bounds on a shard are some 30 MB
 SHARD_BYTES = 32 << 20  # integers of the blocks in one shard
 LIMIT = 2 ** 62
 EXACT = 2.0 ** 53  # inner products up to here are exact in doubles
@@ -68,11 +68,6 @@ def usable(df: DataFrame, id: str, vector: str) -> DataFrame:
             .where(F.col("id").isNotNull() & F.col("v").isNotNull()).where(known))
 
 
-def top_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the ``k`` best, equal scores by ascending id."""
-    return np.lexsort((ids, -scores))[:k]
-
-
 def flat(table: pa.Table, column: str) -> np.ndarray:
     """All elements of a list column."""
     return table.column(column).combine_chunks().flatten().to_numpy()
