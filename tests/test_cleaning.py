@@ -1,10 +1,13 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shelfsight.operators import cleaning as C
 from shelfsight.operators import integrity as I
+from shelfsight.plans.catalog import tidy
 
 
 def column(df, name):
@@ -74,3 +77,26 @@ def test_empty_input(spark, schema):
     df = spark.createDataFrame([], schema)
     assert C.drop_bad_dates(C.parse_dates(df, ["date"]), ["date"]).count() == 0
     assert C.cap_outliers(spark.createDataFrame([], "v double"), ["v"]).count() == 0
+
+
+def test_rounded_equals_round(spark):
+    """Halves, neighbours of halves, large, tiny, negative and special values; -0 becomes 0."""
+    rng = np.random.default_rng(3)
+    near = rng.integers(-10 ** 7, 10 ** 7, 3000) + 0.5
+    values = np.concatenate([near / 1e6, np.nextafter(near / 1e6, 9), np.nextafter(near / 1e6, -9), rng.normal(size=3000),
+                             rng.normal(size=2000) * 1e9, rng.integers(-99, 99, 50) / 2,
+                             [0.0, -0.0, -1e-9, 1e300, -1e300, 1e-300, 4398046.511104, 1e6 / 3, np.inf, -np.inf, np.nan]])
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double")
+    for digits in (4, 6):
+        out = tidy(df, digits).toPandas()["x"].to_numpy()
+        want = df.select(F.round("x", digits).alias("r")).toPandas()["r"].to_numpy()
+        np.testing.assert_array_equal(out, want)
+        assert not np.signbit(out[out == 0]).any()
+
+
+def test_rounding_many_columns_is_no_method_of_its_own_length(spark):
+    """Rounded values of a wide table come from one expression, whatever the number of columns."""
+    df = spark.range(2).select(*[(F.col("id") / 3 + i).alias(f"c{i}") for i in range(40)])
+    plan = tidy(df, 6)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rint(") <= 4
+    assert tidy(df, 6).first()["c39"] == 39.0
