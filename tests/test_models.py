@@ -93,6 +93,13 @@ def prepared(monthly):
     return L.prepare(monthly)
 
 
+def test_rows_are_written_encoded_and_not_scaled(spark, prepared):
+    """Fits and the scaler read the same table; the dense scaled copy is made when it is read."""
+    written = spark.read.parquet(prepared.rows.inputFiles()[0]).columns
+    assert "features" in written and "scaled" not in written
+    assert {"features", "scaled"} <= set(prepared.rows.columns)
+
+
 def test_linear_regression_is_least_squares(prepared):
     model = L.fit_models(prepared, ["LinearRegression"])["LinearRegression"]
     rows = prepared.train.select("scaled", R.TARGET).collect()
