@@ -37,6 +37,18 @@ def test_scores_follow_the_trees(pool):
         assert r["score"] == pytest.approx(-2 ** (-mean / A.expected_path(64)))
 
 
+def test_full_tree_reaches_the_leaves_of_a_lopsided_one():
+    """Leaves at three depths; values on a cut, beyond all cuts, and no rows."""
+    tree = np.array([[0, 0.5, 1, 2, 0], [-1, 0, -1, -1, 1.5], [1, 2.0, 3, 4, 0], [0, 0.75, 5, 6, 0], [-1, 0, -1, -1, 2.5],
+                     [-1, 0, -1, -1, 3.5], [-1, 0, -1, -1, 4.5]])
+    levels, path = full = A.full_tree(tree)
+    assert [len(f) for f, _ in levels] == [1, 2, 4] and len(path) == 8
+    x = np.array([[0.5, 9], [1, 3], [0.75, 2], [0.8, 2], [-9, -9], [1e300, 1e300]])
+    assert A._path_lengths(full, np.ascontiguousarray(x.T)).tolist() == [1.5, 2.5, 3.5, 4.5, 1.5, 2.5]
+    assert len(A._path_lengths(full, np.zeros((2, 0)))) == 0
+    assert A._path_lengths(A.full_tree(tree[1:2]), np.ones((2, 3))).tolist() == [1.5] * 3
+
+
 def test_outlier_is_found_on_any_partitioning(pool):
     def run(df):
         return {tuple(r) for r in A.isolation_forest(df, trees=30, features=FEATURES).select(
