@@ -119,6 +119,32 @@ def test_malformed_lines_are_set_aside(spark, tmp_path):
     assert rows.select("shop_id").count() == 2 and bad.count() == 5  # the same whatever columns are asked for
 
 
+def test_checked_lines_are_judged_as_the_operators_read_them(spark, tmp_path):
+    """A text is set aside just if ``numeric`` makes no number of it; lines are counted in one scan of the files."""
+    values = ["1", " 1.5 ", ".5", "5.", "-3e2", "1e999", "+inf", "Infinity", "nan", "12d", "0x1p3", "1-2", "--1", ".", "x",
+              "", "NA", "1e", "\u0661"]
+    folder = tmp_path / "items.csv"
+    folder.mkdir()
+    header = ",".join(readers.TABLES["items"]) + "\n"
+    (folder / "a.csv").write_text(header + "".join(f'{i},n,1,b,t,p,"{v}",1,0\n' for i, v in enumerate(values)))
+    rows, bad = readers.read_csv_checked(spark, str(folder), "items")
+    frame = spark.createDataFrame(list(enumerate(values)), "i int, v string").where(~F.col("v").isin(readers.MISSING_TOKENS))
+    wrong = {r["i"] for r in frame.where(readers.numeric(F.col("v"), True).isNull()).collect()}
+    assert {int(r["item_id"]) for r in rows.collect()} == set(range(len(values))) - wrong
+    assert {r["reason"] for r in bad.collect()} == {"no number: mrp_inr"} and bad.count() == len(wrong) > 5
+    lines = readers.read_csv_checked(spark, str(folder), "items", split=False)
+    assert set(lines.where("reason is not null").select(*bad.columns).collect()) == set(bad.collect())
+    assert set(lines.where("reason is null").select(*rows.columns).collect()) == set(rows.collect())
+    counted = readers.count_checked(lines, "items")
+    assert counted._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 1
+    assert {tuple(r) for r in counted.collect()} == {
+        ("items", "read", len(values) - len(wrong)), ("items", "no number: mrp_inr", len(wrong))}
+    (folder / "a.csv").write_text(header)
+    spark.catalog.refreshByPath(str(folder))
+    lines = readers.read_csv_checked(spark, str(folder), "items", split=False)
+    assert [tuple(r) for r in readers.count_checked(lines, "items").collect()] == [("items", "read", 0)]
+
+
 def test_bucketed_features_need_no_exchange(spark, monthly):
     """Hold-outs and back-tests of the stored table run in its buckets."""
     def plan(df):
