@@ -90,3 +90,12 @@ def test_retail_queries_stay_when_a_package_is_missing(monkeypatch):
     with pytest.warns(UserWarning, match="left out"):
         spec.loader.exec_module(again)
     assert set(again.queries()) == set(catalog.QUERIES) and set(again.oracle_sql()) == set(oracle.oracle_sql())
+
+
+def test_correlation_passes_over_the_features_without_writing_them(spark, monkeypatch):
+    """One pass: the feature table flows into the moments."""
+    def refused(df, name):
+        raise AssertionError(f"{name} is written")
+
+    monkeypatch.setattr(catalog, "stage", refused)
+    catalog.QUERIES["correlation_matrix"](spark, SF_DIR)
