@@ -357,3 +357,57 @@ def test_links_go_to_the_first_and_the_previous_holder(spark):
             wanted |= {(d, e, x, y) for y in places}
     got = [tuple(r) for r in passages.matches(found.repartition(4)).collect()]
     assert set(got) == wanted
+
+
+def test_parts_quoted_between_two_holders_hide_no_passage(spark):
+    passage = prose(60).split()
+    quotes = [" ".join(passage[k:k + 30]) for k in (0, 15, 30)]
+
+    def around(middle):
+        return prose(40) + " " + middle + " " + prose(40)
+
+    texts = [*map(around, quotes), around(" ".join(passage)), *map(around, quotes), around(" ".join(passage))]
+    # every part stands five times in the other document before the passage does
+    second = prose(60).split()
+    parts = " ".join(prose(20) + " " + " ".join(second[k:k + 30]) for _ in range(5) for k in (0, 15, 30))
+    texts += [parts + " " + around(" ".join(second)), around(" ".join(second))]
+    rows = passages.shared(table(spark, list(enumerate(texts)))).collect()
+    got = {(r["doc_id"], r["other_id"]): (r["start"], r["stop"]) for r in rows}
+    assert set(got) == {(7, 3), (9, 8)}
+    assert all(abs(a - 40) <= 3 and abs(b - 100) <= 3 for a, b in got.values())
+
+
+def test_stretches_that_repeat_themselves_are_covered(spark):
+    line, word = prose(20), "same"
+    texts = [" ".join([line] * 15), prose(30) + " " + " ".join([line] * 90) + " " + prose(30), " ".join([word] * 130),
+             prose(20) + " " + " ".join([word] * 1000), prose(10) + " " + line + " " + line + " " + line + " " + prose(10)]
+    covered, rows = {}, passages.shared(table(spark, list(enumerate(texts)))).collect()
+    for r in rows:
+        assert r["likeness"] >= 0.8
+        covered.setdefault((r["doc_id"], r["other_id"]), set()).update(range(r["start"], r["stop"]))
+    assert set(covered) == {(1, 0), (3, 2), (4, 0)}
+    assert covered[1, 0] >= set(range(30, 1830)) and covered[3, 2] >= set(range(20, 1020)) and covered[4, 0] >= set(range(10, 70))
+    assert len(rows) < 150  # not each round with each
+
+
+def test_only_the_ends_of_repeats_are_kept():
+    for _ in range(200):
+        words = [RNG.choice("ab") for _ in range(RNG.randrange(1, 4))] * RNG.randrange(1, 30)
+        words = [RNG.choice("abc") for _ in range(12)] + words + [RNG.choice("abc") for _ in range(RNG.randrange(30))]
+        h = passages.WordHashes().of([w.encode() for w in words])
+        at, s = passages.seeds_of(h)
+        kept, run = passages.repeats(h, at, s)
+        for name in np.unique(s):
+            x = at[s == name].tolist()
+            between = [x[i - 1] + x[i + 1] == 2 * x[i] and words[x[i - 1]:x[i] + passages.K] == words[x[i]:x[i + 1] + passages.K]
+                       for i in range(1, len(x) - 1)]
+            assert kept[s == name].tolist() == [not b for b in [False, *between, False][:len(x)]]
+            for i, r in zip(x, run[s == name].tolist()):
+                far = (abs(r) >> 32) * (1 if r > 0 else -1)
+                assert i + far in x
+
+
+def test_copies_are_one_passage(spark):
+    text = prose(80)
+    got = passages.shared(table(spark, [(5, text), (3, text), (9, text), (1, prose(20)), (2, prose(20))])).collect()
+    assert sorted(tuple(r) for r in got) == [(5, 3, 0, 80, 0, 80, 1.0), (9, 3, 0, 80, 0, 80, 1.0)]
