@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import numpy as np
 import pandas as pd
@@ -6,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfsight.operators import monthly as M
+from shelfsight.plans import features as P
 
 
 def months(spark, quantities, shop=1, item=1, skip=()):
@@ -125,3 +127,28 @@ def test_sums_keep_every_digit(spark):
 def test_sums_do_not_depend_on_partitions(spark, parts):
     df = spark.range(0, 400, 1, parts).select(F.lit(12345678901.1234).alias("v"))
     assert df.agg(M.total("v")).first()[0] == 4938271560449.36
+
+
+def test_names_are_attached_after_the_exchanges(spark, raw):
+    """Same columns and rows as windows over enriched months; no exchange of monthly rows moves a name or a flag."""
+    valid = P.valid_tables(raw)
+    want = M.next_month_target(P.with_history(P.enriched_months(valid)))
+    got = P.monthly_from(valid)
+    assert got.dtypes == want.dtypes
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", got._jdf.queryExecution().explainString(mode))
+    assert [m for m in moved if "qty#" in m]
+    assert not [m for m in moved if "qty#" in m and ("shop_city#" in m or "brand#" in m or "holiday_days#" in m)]
+
+
+def test_large_dimensions_and_keys_in_two_rows(spark, raw, monkeypatch):
+    """Shops and items over the broadcast limit give the same rows; a shop in two rows still doubles its months."""
+    valid = P.valid_tables(raw)
+    want = M.next_month_target(P.with_history(P.enriched_months(valid)))
+    monkeypatch.setattr(P, "is_small", lambda t: False)
+    got = P.monthly_from(valid)
+    assert got.dtypes == want.dtypes and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    twice = {**valid, "shops": valid["shops"].unionByName(valid["shops"].where("shop_id = 1"))}
+    want = M.next_month_target(P.with_history(P.enriched_months(twice)))
+    assert P.monthly_from(twice).count() == want.count() > valid["shops"].count()
