@@ -9,6 +9,7 @@ from shelfsight.operators import models as R
 from shelfsight.operators.linear import LinearFit, fit_linear
 from shelfsight.operators.monthly import GRAIN
 from shelfsight.plans import forecasting as L
+from shelfsight.sources.staging import stage
 from shelfsight.sources.store import load_model, stored_model
 from shelfsight.sources.writers import save_model
 
@@ -212,3 +213,9 @@ def test_regional_classes(monthly):
         q1, q2 = g["qty"].quantile([0.33, 0.66])
         assert ((g["sales_class"] == "LOW") == (g["qty"] <= round(q1, 4))).all()
         assert ((g["sales_class"] == "HIGH") == (g["qty"] > round(q2, 4))).all()
+
+
+def test_staged_tables_are_written_with_zstd(spark):
+    rows = stage(spark.range(100).selectExpr("id", "id * 0.5 as half"), "small")
+    assert rows.inputFiles() and all(f.endswith(".zstd.parquet") for f in rows.inputFiles())
+    assert rows.agg({"id": "sum"}).first()[0] == 4950
